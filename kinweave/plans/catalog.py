@@ -1,19 +1,438 @@
-"""Queries over the driver tables, and their SQL."""
+"""Queries over the records made from the driver tables; oracle.py has the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.functions import similarity as S
+from kinweave.functions.text import char_ngrams, clean_name_tokens, normalize, soundex, split_words, strip_accents_exact, useful_numbers
+from kinweave.operators import blocking as B
+from kinweave.operators import decision, features, keys, learning, metrics, quality, rules
+from kinweave.plans import oracle
+from kinweave.schema import BlockingConfig, DecisionRule
+from kinweave.sources import records as R
+from kinweave.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+PAIR = B.PAIR
+FEW = BlockingConfig(top_k=5, max_candidates=8)
+THRESHOLDS, CAPS = (0.2, 0.35, 0.5, 0.65, 0.8, 0.95), (1, 3, None)
+
+
+def micro(value: F.Column) -> F.Column:
+    """Rounded to 6 places in binary arithmetic, so that halves go the same way on every engine."""
+    return F.floor(value.cast("double") * 1e6 + 0.5) / 1e6
+
+
+def _r(column: str) -> F.Column:
+    return micro(F.col(column)).alias(column)
+
+
+def _long(column: str) -> F.Column:
+    return F.col(column).cast("long").alias(column)
+
+
+class Data:
+    """Normalised records, both sides, truth and roster."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.raw = R.records(spark, sf_dir)
+        self.all = normalize(self.raw)
+        self.s1, self.targets = self.all.where("target_source = 'S1'"), self.all.where("target_source <> 'S1'")
+        self.truth = R.truth(self.raw)
+        self.roster = self.raw.where("target_source = 'S1'").select(F.col("entity_id").alias(PAIR[0]))
+
+    def capped(self) -> tuple[DataFrame, DataFrame]:
+        frequency = keys.token_frequency(self.targets)
+        return keys.capped_keys(self.s1, frequency, FEW.token_cap), keys.capped_keys(self.targets, frequency, FEW.token_cap)
+
+    def close(self) -> DataFrame:
+        """Pairs that share the first two name tokens."""
+        left, right = (keys.explode_keys(x).where("key_type = 'name_first2'").drop("gate") for x in (self.s1, self.targets))
+        return B.key_join(left, right)
+
+    def close_texts(self) -> DataFrame:
+        return B.with_texts(self.close(), self.s1, self.targets, features.ATTRIBUTES)
+
+    def scored(self) -> DataFrame:
+        """The close pairs with a probability (the weighted Levenshtein score) and ranks."""
+        rows = self.close_texts().select(*PAIR, micro(S.weighted_levenshtein(F.col("s1_name_norm"), F.col("cand_name_norm"), F.col("s1_address_norm"), F.col("cand_address_norm"))).alias("probability"))
+        return decision.probability_rank(rows.withColumn("candidate_rank", F.lit(1)))
+
+    def rule_pairs(self) -> DataFrame:
+        return rules.rule_links(self.s1, self.targets)
+
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Data(spark, sf_dir))
+    return f
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["topk_candidates"](spark, sf_dir)
+
+
+@query
+def record_scan(d: Data) -> DataFrame:
+    return d.raw
+
+
+@query
+def norm_name(d: Data) -> DataFrame:
+    return d.all.select("entity_id", "name_norm", "legal_form", "country_norm")
+
+
+@query
+def norm_address(d: Data) -> DataFrame:
+    return d.all.select("entity_id", "address_norm", "address_numbers", "landmark_tokens", "combined_norm")
+
+
+@query
+def extract_numbers(d: Data) -> DataFrame:
+    return d.all.select("entity_id", F.explode(useful_numbers(F.col("address_numbers"))).alias("num"))
+
+
+@query
+def soundex_keys(d: Data) -> DataFrame:
+    tokens = d.all.select(F.explode(split_words(F.col("name_norm"))).alias("token")).distinct()
+    return tokens.select("token", soundex(F.col("token")).alias("code"))
+
+
+@query
+def char3grams(d: Data) -> DataFrame:
+    grams = char_ngrams(F.col("name_norm"))
+    return d.all.select("entity_id", F.size(grams).cast("long").alias("n_grams"), F.array_join(F.array_sort(grams), "|").alias("grams"))
+
+
+@query
+def row_keys(d: Data) -> DataFrame:
+    made = keys.key_array(F.col("name_norm"), F.col("address_norm"), F.col("address_numbers"))
+    return d.all.select("entity_id", F.size(made).cast("long").alias("n_keys"), F.array_join(F.transform(made, lambda k: F.concat(k["key_type"], F.lit("="), k["key"])), ";").alias("keys"))
+
+
+@query
+def token_frequency(d: Data) -> DataFrame:
+    return keys.token_frequency(d.targets)
+
+
+@query
+def bucket_sizes(d: Data) -> DataFrame:
+    sizes = B.bucket_sizes(keys.explode_keys(d.targets), FEW.bucket_cap)
+    return sizes.groupBy("country_norm", "key_type", "bucket_size", "bucket_records").agg(F.count(F.lit(1)).alias("n_buckets"))
+
+
+@query
+def capped_keys(d: Data) -> DataFrame:
+    _, right = d.capped()
+    return right.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_keys"), F.countDistinct("key_type", "key").alias("n_distinct"))
+
+
+@query
+def key_join_candidates(d: Data) -> DataFrame:
+    return d.close().groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_candidates"), F.min(PAIR[1]).alias("first_id"), F.max(PAIR[1]).alias("last_id"))
+
+
+@query
+def budgeted_candidates(d: Data) -> DataFrame:
+    left, right = d.capped()
+    pairs = B.budgeted_pairs(left, right, FEW.bucket_cap, FEW.budget)
+    number = F.split(PAIR[1], "-")[1].cast("decimal(38,0)")
+    return pairs.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_candidates"), F.sum(number).cast("string").alias("id_sum"))
+
+
+@query
+def topk_candidates(d: Data) -> DataFrame:
+    return B.keyed_candidates(d.s1, d.targets, FEW).select(*PAIR, _r("keyed_score"), "keyed_rank")
+
+
+@query
+def token_block_topk(d: Data) -> DataFrame:
+    return B.token_candidates(d.s1, d.targets, ["name_norm", "address_numbers"], 5, FEW.token_cap).select(*PAIR, _r("token_score"), "token_rank")
+
+
+@query
+def tfidf_cosine_topk(d: Data) -> DataFrame:
+    names = [x.withColumn("country_norm", F.concat_ws("|", "country_norm", F.substring("name_norm", 1, 2))) for x in (d.s1, d.targets)]
+    return B.tfidf_candidates(*names, "name_norm", 3, FEW).select(*PAIR, _r("name_tfidf_score"), "name_tfidf_rank")
+
+
+def _two_blockers(d: Data) -> DataFrame:
+    token = B.token_candidates(d.s1, d.targets, ["name_norm", "address_numbers"], 5, FEW.token_cap)
+    first2 = B.top_k(d.scored().select(*PAIR, F.col("probability").alias("first2_score")), 5, "first2_score", "first2_rank").withColumn("blocker", F.lit("first2"))
+    return B.combine([token.withColumn("token_score", micro(F.col("token_score"))), first2], FEW.max_candidates)
+
+
+@query
+def combine_blockers(d: Data) -> DataFrame:
+    return _two_blockers(d)
+
+
+@query
+def candidate_lists(d: Data) -> DataFrame:
+    return B.candidate_lists(_two_blockers(d)).select(PAIR[0], F.array_join("candidate_ids", ",").alias("candidate_ids"))
+
+
+@query
+def truth_pairs(d: Data) -> DataFrame:
+    return d.truth
+
+
+@query
+def truth_lists(d: Data) -> DataFrame:
+    lists = d.truth.groupBy(PAIR[0]).agg(F.array_join(F.array_sort(F.collect_set(PAIR[1])), ",").alias("matched_entity_ids"))
+    rows = d.roster.join(lists, PAIR[0], "left").select(PAIR[0], F.coalesce("matched_entity_ids", F.lit("")).alias("matched_entity_ids"))
+    return rows.withColumn("n_matches", F.size(tables.parse_ids(F.col("matched_entity_ids"))).cast("long"))
+
+
+@query
+def label_pairs(d: Data) -> DataFrame:
+    known = d.truth.withColumn("label", F.lit(1))
+    rows = d.close().join(known, PAIR, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return rows.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("label").alias("n_positive"))
+
+
+@query
+def entity_fbeta(d: Data) -> DataFrame:
+    return metrics.entity_fbeta(d.roster, d.close(), d.truth).select(PAIR[0], *map(_long, ("n_pred", "n_true", "n_hit")), _r("fbeta"))
+
+
+@query
+def macro_fbeta(d: Data) -> DataFrame:
+    return metrics.macro_fbeta(d.roster, d.rule_pairs(), d.truth).select(_r("macro_fbeta"))
+
+
+@query
+def blocking_audit(d: Data) -> DataFrame:
+    out = metrics.blocking_audit(d.roster, d.close(), d.truth)
+    return out.select(*map(_r, out.columns))
+
+
+@query
+def miss_breakdown(d: Data) -> DataFrame:
+    return metrics.miss_breakdown(d.roster, d.close(), d.truth)
+
+
+@query
+def non_empty_rate(d: Data) -> DataFrame:
+    out = metrics.non_empty_rate(d.roster, d.rule_pairs())
+    return out.select(*map(_r, out.columns))
+
+
+def _native(d: Data, names: list[str]) -> DataFrame:
+    made = features.native_features()
+    return d.close_texts().select(*PAIR, *[micro(features.finite(made[n])).alias(n) for n in names])
+
+
+JACCARDS = ["name_jaccard", "address_jaccard", "combined_jaccard", "name_char3gram_jaccard", "address_char3gram_jaccard"]
+OVERLAPS = ["shared_name_tokens", "shared_address_tokens", "shared_numbers", "has_number_overlap", "number_conflict", "legal_form_overlap", "legal_form_conflict", "landmark_overlap", "name_overlap_coefficient", "address_overlap_coefficient"]
+LEVENSHTEINS = ["name_levenshtein", "address_levenshtein"]
+STRUCTURES = ["same_country", "candidate_is_s2", "candidate_is_s3", "name_length_diff", "address_length_diff", "s1_name_token_count", "candidate_name_token_count", "s1_address_token_count", "candidate_address_token_count", "name_exact_match", "address_exact_match", "name_length_ratio", "address_length_ratio", "address_presence", "exact_name_missing_addr"]
+PREFIXES = ["name_prefix4_match", "address_prefix4_match"]
+
+
+@query
+def jaccard_features(d: Data) -> DataFrame:
+    return _native(d, JACCARDS)
+
+
+@query
+def overlap_features(d: Data) -> DataFrame:
+    return _native(d, OVERLAPS)
+
+
+@query
+def levenshtein_features(d: Data) -> DataFrame:
+    return _native(d, LEVENSHTEINS)
+
+
+@query
+def structural_features(d: Data) -> DataFrame:
+    return _native(d, STRUCTURES)
+
+
+@query
+def prefix_features(d: Data) -> DataFrame:
+    return _native(d, PREFIXES)
+
+
+def _batched(d: Data, names: list[str]) -> DataFrame:
+    made = features.batched_features()
+    return d.close_texts().select(*PAIR, *[made[n].alias(n) for n in names]).select(*PAIR, *map(_r, names))
+
+
+@query
+def jaro_winkler(d: Data) -> DataFrame:
+    return _batched(d, ["name_jaro_winkler", "address_jaro_winkler"])
+
+
+@query
+def token_sort_ratio(d: Data) -> DataFrame:
+    return _batched(d, ["name_token_sort_ratio", "address_token_sort_ratio"])
+
+
+@query
+def token_set_ratio(d: Data) -> DataFrame:
+    return _batched(d, ["name_token_set_ratio", "address_token_set_ratio"])
+
+
+@query
+def sequence_ratio(d: Data) -> DataFrame:
+    return _batched(d, ["name_sequence_ratio", "address_sequence_ratio"])
+
+
+@query
+def pair_features(d: Data) -> DataFrame:
+    return features.pair_features(_two_blockers(d), d.s1, d.targets, d.truth)
+
+
+@query
+def predict_threshold_cap(d: Data) -> DataFrame:
+    rows = decision.predict(d.scored(), DecisionRule(threshold=0.6, cap=3, bipartite=False))
+    lists = decision.link_lists(d.roster, rows)
+    return lists.select(PAIR[0], F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def predict_source_specific(d: Data) -> DataFrame:
+    rows = decision.predict(d.scored(), DecisionRule(None, 0.5, 0.8, 4, False))
+    return rows.select(*PAIR, "probability", "prob_rank")
+
+
+@query
+def exclusive_assignment(d: Data) -> DataFrame:
+    return decision.decide(d.scored(), DecisionRule(threshold=0.4, cap=None, bipartite=True)).select(*PAIR, "probability")
+
+
+@query
+def tune_rule_grid(d: Data) -> DataFrame:
+    return decision.rule_grid(d.scored(), d.truth, d.roster, THRESHOLDS, CAPS).select("threshold", F.coalesce("cap", F.lit(0)).alias("cap"), _r("macro_f05"))
+
+
+@query
+def exact_links(d: Data) -> DataFrame:
+    return rules.exact_links(d.s1, d.targets)
+
+
+@query
+def rule_matcher(d: Data) -> DataFrame:
+    return d.rule_pairs()
+
+
+@query
+def evidence_weights(d: Data) -> DataFrame:
+    return rules.weighted_evidence(d.s1, d.targets, 50).groupBy("weight").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query
+def fuzzy_matcher(d: Data) -> DataFrame:
+    return rules.fuzzy_links(d.s1, d.targets, token_cap=50)
+
+
+@query
+def target_pool_sample(d: Data) -> DataFrame:
+    pool = tables.target_pool(d.raw.where("target_source <> 'S1'").drop("number"), d.truth.select(F.col(PAIR[1]).alias("entity_id")), 7)
+    return pool.select("entity_id", "target_source")
+
+
+@query
+def stratified_split(d: Data) -> DataFrame:
+    counts = d.roster.join(d.truth.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_matches")), PAIR[0], "left").select(PAIR[0], F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+    return learning.three_way_split(counts)
+
+
+@query
+def downsample_negatives(d: Data) -> DataFrame:
+    known = d.truth.withColumn("label", F.lit(1))
+    return learning.downsample_negatives(d.close().join(known, PAIR, "left").withColumn("label", F.coalesce("label", F.lit(0))), 2)
+
+
+@query
+def dup_rows_check(d: Data) -> DataFrame:
+    keyed = d.all.select(F.concat_ws("|", "country_norm", "name_norm", "address_norm").alias("entity_id"))
+    return features.duplicate_ids(keyed).select(F.col("entity_id").alias("record_key"), F.col("n").alias("n_rows"))
+
+
+@query
+def subset_check(d: Data) -> DataFrame:
+    return quality.outside_candidates(d.rule_pairs(), d.close())
+
+
+@query
+def missing_ids(d: Data) -> DataFrame:
+    return quality.missing_ids(d.roster, d.rule_pairs())
+
+
+@query
+def list_audit(d: Data) -> DataFrame:
+    lists = d.truth.groupBy(PAIR[0]).agg(F.array_join(F.array_sort(F.collect_list(PAIR[1])), ",").alias("ids"))
+    surplus = d.targets.groupBy("country").agg(F.min("entity_id").alias(PAIR[0])).select(PAIR[0], F.concat_ws(",", PAIR[0], PAIR[0], F.lit("S1-1"), F.lit("X-1")).alias("ids"))
+    out = quality.list_audit(lists.unionByName(surplus), d.roster, d.targets)
+    return out.select(*map(_long, out.columns))
+
+
+@query
+def multi_owner_targets(d: Data) -> DataFrame:
+    return quality.multi_owner_targets(d.close())
+
+
+@query
+def cross_country_links(d: Data) -> DataFrame:
+    heads = d.raw.select("entity_id", "target_source", F.col("business_name").alias("n")).where("n <> ''")
+    pairs = heads.where("target_source = 'S1'").groupBy("n").agg(F.min("entity_id").alias(PAIR[0])).join(heads.where("target_source <> 'S1'").select("n", F.col("entity_id").alias(PAIR[1])), "n")
+    return quality.cross_country_links(pairs, d.raw, d.raw)
+
+
+@query
+def non_latin_audit(d: Data) -> DataFrame:
+    return quality.non_latin_audit(d.raw)
+
+
+@query
+def country_stats(d: Data) -> DataFrame:
+    out = quality.country_summary(d.raw.where("target_source = 'S1'"), d.rule_pairs())
+    return out.select("country", _long("n_records"), _long("n_linked"), _r("mean_links"))
+
+
+@query
+def country_spellings(d: Data) -> DataFrame:
+    return quality.country_spellings(d.all)
+
+
+@query
+def missed_pair_diagnosis(d: Data) -> DataFrame:
+    missed = quality.outside_candidates(d.truth, d.rule_pairs())
+    return B.missed_pairs_shared_keys(missed, d.s1, d.targets, keys.token_frequency(d.targets), FEW.token_cap)
+
+
+@query
+def strip_accents_full(d: Data) -> DataFrame:
+    return d.raw.select("entity_id", F.lower(strip_accents_exact(F.col("business_name"))).alias("folded"))
+
+
+@query
+def clean_tokens(d: Data) -> DataFrame:
+    return d.all.select("entity_id", F.array_join(F.array_sort(clean_name_tokens(F.col("name_norm"))), " ").alias("tokens"))
+
+
+@query
+def gbt_scored_pairs(d: Data) -> DataFrame:
+    made = features.native_features()
+    names = [*JACCARDS, *OVERLAPS, *LEVENSHTEINS, *STRUCTURES, *PREFIXES]
+    known = d.truth.withColumn("label", F.lit(1))
+    rows = d.close_texts().select(*PAIR, *[features.finite(made[n]).alias(n) for n in names]).withColumn("candidate_rank", F.lit(1)).join(known, PAIR, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    model = learning.train(rows, names, trees=5, depth=4)
+    return learning.scored_pairs(rows, model)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
