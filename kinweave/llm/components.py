@@ -1,8 +1,9 @@
-"""Connected components of a link table, distributed.
+"""Connected components of a link table, distributed, by contraction.
 
-Every node takes the smallest label among its own and its neighbours', then the label of that label. Labels are
-written to the shared folder after each round; rounds end when no label changes. Only joins and minima are used, so
-a node with very many links is combined before it is moved or split by the join.
+In each round every node points at the smallest of itself and its neighbours, then at what that points at; links are
+redrawn between the nodes pointed at, and those inside one node vanish. The links left shrink from round to round, and
+rounds end when there are none. All tables are written to the shared folder. Only joins, minima and distinct are used, so
+a node with very many links is combined before it is moved, or split by the join.
 """
 
 from __future__ import annotations
@@ -13,17 +14,28 @@ from pyspark.sql import functions as F
 from kinweave.llm.runtime import Stash
 
 
+def _redrawn(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame, stash: Stash) -> DataFrame:
     """node and component (its smallest reachable node) of the links' columns a and b; nodes without links are absent."""
-    both = stash(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"), F.col("node").alias("was")))
+    links = stash(_redrawn(links))
+    found: DataFrame | None = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        lower = labels.select("node", F.col("label").alias("was")).join(near, "node").select("node", "was", F.least("was", "least").alias("label"))
-        above = lower.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        after = stash(lower.join(above, "label").select("node", F.least("label", "higher").alias("label"), "was"))
-        stash.drop(labels)
-        labels = after
-        if labels.where("label <> was").limit(1).count() == 0:
-            stash.drop(both)
-            return labels.select("node", F.col("label").alias("component"))
+        sides = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).union(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least")))
+        points = stash(sides.groupBy("node").agg(F.min("least").alias("least")).select("node", F.least("node", "least").alias("label")))
+        step = stash(points.join(points.select(F.col("node").alias("label"), F.col("label").alias("higher")), "label").select("node", F.col("higher").alias("component")))
+        stash.drop(points)
+        if found is None:
+            found = step
+        else:
+            moved = step.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+            found = stash(found.join(moved, "component", "left").select("node", F.coalesce("higher", "component").alias("component")))
+        ends = [step.select(F.col("node").alias(c), F.col("component").alias(f"{c}_to")) for c in ("a", "b")]
+        left = stash(_redrawn(links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))))
+        stash.drop(links)
+        links = left
+        if links.limit(1).count() == 0:
+            stash.drop(links)
+            return found
