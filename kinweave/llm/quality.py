@@ -63,9 +63,9 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             cuts.append(cuts[-1] + CHUNK + (int(tail[0]) if len(tail) else CHUNK))
         cuts.append(end)
         n = b - a
-        words, distinct, repeats, letters = (np.zeros(n) for _ in range(4))
+        words, repeats, letters = (np.zeros(n) for _ in range(3))
         marks = np.zeros((4, n))
-        found = []
+        kinds, found = [], []
         for x, y in zip(cuts, cuts[1:], strict=False):
             run = data[x:y]
             at = np.clip(offsets[a : b + 1] - x, 0, y - x)
@@ -75,14 +75,16 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             whole = range_hashes(sums, first, last)
             heads = mix(range_hashes(sums, first, np.minimum(last, first + HEAD)) + U64(1))
             again = np.concatenate([[False], (whole[1:] == whole[:-1]) & (row[1:] == row[:-1])]) if len(whole) else np.zeros(0, bool)
-            found.append(np.unique(np.concatenate([_place(row, whole), _place(row, heads)])))
+            kinds.append(np.unique(_place(row, whole)))
+            found.append(np.unique(_place(row, heads)))
             words += count
             repeats += np.bincount(row, again, n)
             letters += np.bincount(row, last - first, n)
-            distinct += np.bincount((np.unique(_place(row, whole)) >> BITS).astype(np.int64), minlength=n)
             for k, table in enumerate((UPPER, DIGIT, SIGN, LOUD)):
                 hits = np.concatenate([[0], np.cumsum(table[run])])
                 marks[k] += hits[at[1:]] - hits[at[:-1]]
+        found.append(np.unique(np.concatenate(kinds)))
+        distinct = np.bincount(found[-1] >> BITS, minlength=n)
         size = np.maximum(1, np.diff(offsets[a : b + 1]))
         some = np.maximum(1, words)
         measures = [*(_steps(m / size) for m in marks), _steps(repeats / some), np.minimum(20, 10 * np.log10(np.maximum(1, some / np.maximum(1, distinct)))).astype(np.int64), np.minimum(20, letters / some).astype(np.int64), np.log2(some).astype(np.int64)]

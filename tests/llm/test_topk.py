@@ -1,0 +1,52 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinweave.llm import topk
+
+
+def brute(rows, k, asks):
+    good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in good:
+        if asks(q):
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c) for c, b in good if c != q)
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def run(spark, rows, k=5, modulo=5):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "vector": F.lit("x"), "length": F.lit(2), "block": F.lit(3)})
+    got = topk.top_inner_products(frame, F.col("vec_id") % modulo == 0, k)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    return sorted(tuple(r) for r in got.collect())
+
+
+@pytest.mark.parametrize("small, large, strip", [(512, 8192, 512), (8, 16, 4)])
+def test_equals_brute_force(spark, monkeypatch, small, large, strip):
+    monkeypatch.setattr(topk, "SMALL", small)
+    monkeypatch.setattr(topk, "LARGE", large)
+    monkeypatch.setattr(topk, "STRIP", strip)
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(150, 20)) * rnd.uniform(0.2, 3, size=(150, 1)) / 4
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(base)]
+    rows += [(200 + i, rows[7][1]) for i in range(60)]
+    assert run(spark, rows) == brute(rows, 5, lambda q: q % 5 == 0)
+
+
+def test_odd_vectors(spark):
+    rows = [(0, [0.5, 0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (6, [1.0]), (10, [0.5, 0.5]), (None, [9.0, 9.0]), (15, [0.0, 0.0])]
+    assert run(spark, rows) == brute(rows, 5, lambda q: q % 5 == 0)
+    assert run(spark, []) == [] and run(spark, [(0, [1.0])]) == [] and run(spark, [(5, [])]) == []
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(i, [3.0e7 + i, 2.0e7 - i]) for i in range(12)]
+    assert run(spark, rows) == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5, lambda q: q % 5 == 0)
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    rows = [(5, [1.0]), (7, [1.0]), (7, [1.0]), (8, [0.5])]
+    assert run(spark, rows, 3) == [(5, 1, 7, 65536), (5, 2, 7, 65536), (5, 3, 8, 32768)]
