@@ -1,0 +1,52 @@
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+ROOT = Path(__file__).resolve().parents[1]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+def plain(frame):
+    frame = frame[sorted(frame.columns)]
+    return sorted((tuple(None if x is None or x != x else round(float(x), 6) if isinstance(x, float) else x.item() if hasattr(x, "item") else x for x in r) for r in frame.itertuples(index=False)), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    ours, theirs = entry.queries()[name](spark, SF).toPandas(), duck.execute(entry.oracle_sql()[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns) and plain(ours) == plain(theirs)
+
+
+def test_names():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_rest_works_without_the_subpackage(tmp_path):
+    for p in ("kinweave", "__spark_entry__.py"):
+        subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "kinweave/llm")], check=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'rule_matcher' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_nothing_else_imports_the_subpackage():
+    for path in (ROOT / "kinweave").rglob("*.py"):
+        assert "llm" in path.parts or "kinweave.llm" not in path.read_text()
