@@ -30,13 +30,22 @@ def prefix(column: Column, depth: Column | int) -> Column:
     return F.call_function("shiftright", column, (F.lit(BITS) - depth).cast("int")).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int")))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, equal ones numbered from 0 in `copy`; they are counted, not ranked, so no task sees them together."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    counted = named.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+
+
+def _hash(*parts: Column) -> Column:
+    return F.call_function("shiftrightunsigned", F.xxhash64(*parts), F.lit(64 - BITS))
+
+
 def items(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, copy and hash: one row per input row, copies of equal rows numbered from 0."""
+    """doc_id, n_bytes, copy and hash of every input row, without the text."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.xxhash64(body).alias("body"))
-    counted = rows.groupBy("doc_id", "n_bytes", "body").agg(F.count(F.lit(1)).alias("n"))
-    numbered = counted.select("doc_id", "n_bytes", "body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
-    return numbered.select("doc_id", "n_bytes", "copy", F.call_function("shiftrightunsigned", F.xxhash64("doc_id", "body", "copy"), F.lit(64 - BITS)).alias("hash"))
+    return numbered(rows).select("row.doc_id", "row.n_bytes", "copy", _hash(F.col("row.doc_id"), F.col("row.body"), F.col("copy")).alias("hash"))
 
 
 def directory(rows: DataFrame, limit: int, stash: Stash) -> DataFrame:
@@ -70,13 +79,30 @@ def directory(rows: DataFrame, limit: int, stash: Stash) -> DataFrame:
     return out
 
 
+def located(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """The rows (with hash) in their shards: one probe for each depth that occurs, of which exactly one meets."""
+    depths = sorted(r.depth for r in shards.select("depth").distinct().collect())
+    probes = F.array(*[prefix(F.col("hash"), d) for d in depths]) if depths else F.array().cast("array<bigint>")
+    return rows.withColumn("shard", F.explode(probes)).join(shards, "shard")
+
+
 def assign(docs: DataFrame, limit: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, copy, n_bytes, shard (prefix with a leading 1), depth, shard_bytes and oversize of every input row."""
     stash = Stash(docs.sparkSession)
     rows = stash(items(docs, id_column, text))
-    shards = stash(directory(rows, limit, stash))
-    depths = [r.depth for r in shards.select("depth").distinct().collect()]
-    # one probe for each depth that occurs: a row is in exactly one bucket of the directory
-    keyed = rows.withColumn("shard", F.explode(F.array(*[prefix(F.col("hash"), d) for d in sorted(depths)]))) if depths else rows.withColumn("shard", F.lit(0).cast("long"))
-    found = keyed.join(shards, "shard")
+    found = located(rows, stash(directory(rows, limit, stash)))
     return found.select("doc_id", "copy", "n_bytes", "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
+
+
+def write_shards(docs: DataFrame, limit: int, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the rows as Parquet, one folder shard=... for each shard, and returns the directory.
+
+    Rows that differ only outside id and text are numbered apart here, so a shard is measured on the rows written.
+    """
+    stash = Stash(docs.sparkSession)
+    body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
+    rows = stash(numbered(docs).select("row", F.octet_length(body).cast("long").alias("n_bytes"), _hash(F.col(f"row.{id_column}"), F.xxhash64("row"), F.col("copy")).alias("hash")))
+    shards = stash(directory(rows.select("hash", "n_bytes"), limit, stash))
+    located(rows, shards).select("row.*", "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    stash.drop(rows)
+    return shards

