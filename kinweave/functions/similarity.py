@@ -140,9 +140,10 @@ def register(spark: SparkSession) -> None:
 
 
 def weighted_levenshtein(name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> Column:
-    """0.7 * name + 0.3 * address on sorted tokens, native."""
-    return 0.7 * levenshtein_similarity(sorted_tokens(name_a), sorted_tokens(name_b)) + 0.3 * levenshtein_similarity(sorted_tokens(address_a), sorted_tokens(address_b))
+    """0.7 * name + 0.3 * address, native; texts come with their tokens sorted."""
+    return 0.7 * levenshtein_similarity(name_a, name_b) + 0.3 * levenshtein_similarity(address_a, address_b)
 
 
-def weighted_token_sort(name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> Column:
-    return (0.7 * token_sort_udf(name_a, name_b) + 0.3 * token_sort_udf(address_a, address_b)) / 100
+def weighted_indel(name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> Column:
+    """The same weights on Indel ratios; texts come with their tokens sorted, which makes them token-sort ratios."""
+    return (0.7 * ratio_udf(name_a, name_b) + 0.3 * ratio_udf(address_a, address_b)) / 100

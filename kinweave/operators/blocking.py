@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.similarity import weighted_levenshtein
+from kinweave.functions.similarity import sorted_tokens, weighted_levenshtein
 from kinweave.functions.text import token_set, word_ngrams
 from kinweave.operators.keys import capped_keys, token_frequency
 from kinweave.schema import BlockingConfig
@@ -53,6 +53,13 @@ def with_texts(pairs: DataFrame, s1: DataFrame, targets: DataFrame, columns: lis
     return pairs.join(left, PAIR[0], "left").join(right, PAIR[1], "left")
 
 
+def sorted_scores(pairs: DataFrame, s1: DataFrame, targets: DataFrame, score: Score) -> DataFrame:
+    """The pairs with score of both names and addresses, whose tokens are sorted once per record, not per pair."""
+    sides = [x.select("entity_id", sorted_tokens(F.col("name_norm")).alias("n"), sorted_tokens(F.col("address_norm")).alias("a")) for x in (s1, targets)]
+    texts = with_texts(pairs, *sides, ["n", "a"])
+    return texts.select(*PAIR, score(F.col("s1_n"), F.col("cand_n"), F.col("s1_a"), F.col("cand_a")).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, score: str, rank: str) -> DataFrame:
     """The k best of each S1 record; equal scores by candidate id."""
     best = Window.partitionBy(PAIR[0]).orderBy(F.desc(score), PAIR[1])
@@ -63,8 +70,7 @@ def keyed_candidates(s1: DataFrame, targets: DataFrame, config: BlockingConfig =
     """keyed_score and keyed_rank of the top_k candidates of each S1 record, within its country."""
     frequency = token_frequency(targets)
     pairs = budgeted_pairs(capped_keys(s1, frequency, config.token_cap), capped_keys(targets, frequency, config.token_cap), config.bucket_cap, config.budget)
-    texts = with_texts(pairs, s1, targets, ["name_norm", "address_norm"])
-    scored = texts.select(*PAIR, score(*(F.col(c) for c in ("s1_name_norm", "cand_name_norm", "s1_address_norm", "cand_address_norm"))).alias("keyed_score"))
+    scored = sorted_scores(pairs, s1, targets, score).select(*PAIR, F.round("score", 9).alias("keyed_score"))
     return top_k(scored, config.top_k, "keyed_score", "keyed_rank").withColumn("blocker", F.lit("keyed"))
 
 

@@ -59,7 +59,7 @@ class Data:
 
     def scored(self) -> DataFrame:
         """The close pairs with a probability (the weighted Levenshtein score) and ranks."""
-        rows = self.close_texts().select(*PAIR, micro(S.weighted_levenshtein(F.col("s1_name_norm"), F.col("cand_name_norm"), F.col("s1_address_norm"), F.col("cand_address_norm"))).alias("probability"))
+        rows = B.sorted_scores(self.close(), self.s1, self.targets, S.weighted_levenshtein).select(*PAIR, micro(F.col("score")).alias("probability"))
         return decision.probability_rank(rows.withColumn("candidate_rank", F.lit(1)))
 
     def rule_pairs(self) -> DataFrame:

@@ -434,7 +434,7 @@ SELECT country_norm, key_type, bucket_size, bucket_records, count(*) AS n_bucket
         "key_join_candidates": close + f" SELECT {S1}, count(*) AS n_candidates, min({CAND}) AS first_id, max({CAND}) AS last_id FROM close GROUP BY {S1}",
         "budgeted_candidates": _with(RECORDS, NORM, KEYED, FREQUENCY, BUDGET) + f" SELECT {S1}, count(*) AS n_candidates, CAST(sum(CAST(split_part({CAND}, '-', 2) AS HUGEINT)) AS VARCHAR) AS id_sum FROM budgeted GROUP BY {S1}",
         "topk_candidates": _with(RECORDS, NORM, KEYED, FREQUENCY, BUDGET, _texts("budgeted"), SORTED_TEXTS)
-        + f" SELECT {S1}, {CAND}, round(raw, 6) AS keyed_score, CAST(r AS INTEGER) AS keyed_rank FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY raw DESC, {CAND}) AS r FROM weighed) WHERE r <= 5",
+        + f" SELECT {S1}, {CAND}, round(round(raw, 9), 6) AS keyed_score, CAST(r AS INTEGER) AS keyed_rank FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY round(raw, 9) DESC, {CAND}) AS r FROM weighed) WHERE r <= 5",
         "token_block_topk": _with(RECORDS, NORM, _token_block(5)) + " SELECT * FROM token_top",
         "tfidf_cosine_topk": _with(RECORDS, NORM, _tfidf(3)) + " SELECT * FROM tfidf_top",
         "combine_blockers": scored + "," + COMBINED + " SELECT * FROM combined",
