@@ -8,11 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LANES = 4096
+
 
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
@@ -55,6 +58,43 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def common_subsequences(left: list[str], right: list[str]) -> np.ndarray:
+    """common_subsequence() of many pairs at once: one 64-bit word per pair, all pairs moving on one character at a time.
+
+    The shorter text of a pair is the one in bits; pairs where both exceed 64 characters are computed one by one.
+    """
+    out = np.zeros(len(left), np.int64)
+    short = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right, strict=True)]
+    fits = np.array([len(a) <= 64 for a, _ in short], bool)
+    for i in np.flatnonzero(~fits):
+        out[i] = common_subsequence(*short[i])
+    at = np.flatnonzero(fits)
+    at = at[np.argsort([len(short[i][1]) for i in at], kind="stable")]
+    for lo in range(0, len(at), LANES):
+        part = at[lo : lo + LANES]
+        texts = [short[i][0] for i in part] + [short[i][1] for i in part]
+        sizes = np.array([len(t) for t in texts])
+        if not sizes.max(initial=0):
+            continue
+        points, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        grid = np.zeros((len(texts), sizes.max()), np.int64)
+        grid[np.arange(sizes.max())[None, :] < sizes[:, None]] = codes + 1
+        a, b = grid[: len(part)], grid[len(part) :]
+        lanes = np.arange(len(part))
+        where = np.zeros((len(part), len(points) + 1), np.uint64)
+        for j in range(sizes[: len(part)].max(initial=0)):
+            where[lanes, a[:, j]] |= np.uint64(1 << j)
+        where[:, 0] = 0
+        row = np.full(len(part), 2**64 - 1, np.uint64)
+        for j in range(sizes[len(part) :].max(initial=0)):
+            hit = row & where[lanes, b[:, j]]
+            row = (row + hit) | (row - hit)
+        width = sizes[: len(part)].astype(np.uint64)
+        kept = np.where(width < 64, (np.uint64(1) << np.minimum(width, np.uint64(63))) - np.uint64(1), np.uint64(2**64 - 1))
+        out[part] = sizes[: len(part)] - np.bitwise_count(row & kept).astype(np.int64)
+    return out
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * LCS / total length."""
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
@@ -126,8 +166,22 @@ def _batched(f: Callable[[str, str], float]):
     return run
 
 
-ratio_udf = _batched(indel_ratio)
-token_sort_udf = _batched(token_sort)
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    left, right = a.fillna("").tolist(), b.fillna("").tolist()
+    total = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], float)
+    return pd.Series(np.where(total > 0, 200.0 * common_subsequences(left, right) / np.maximum(total, 1), 100.0))
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _ratios(a, b)
+
+
+@F.pandas_udf(T.DoubleType())
+def token_sort_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _ratios(*(x.fillna("").map(lambda t: " ".join(sorted(t.split()))) for x in (a, b)))
+
+
 token_set_udf = _batched(token_set)
 jaro_winkler_udf = _batched(jaro_winkler)
 sequence_ratio_udf = _batched(sequence_ratio)
@@ -147,3 +201,8 @@ def weighted_levenshtein(name_a: Column, name_b: Column, address_a: Column, addr
 def weighted_indel(name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> Column:
     """The same weights on Indel ratios; texts come with their tokens sorted, which makes them token-sort ratios."""
     return (0.7 * ratio_udf(name_a, name_b) + 0.3 * ratio_udf(address_a, address_b)) / 100
+
+
+def weighted_jaccard(name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> Column:
+    """The same weights on token sets, given as arrays: the cheapest of the three, all native."""
+    return 0.7 * jaccard(name_a, name_b) + 0.3 * jaccard(address_a, address_b)

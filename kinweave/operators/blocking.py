@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.similarity import sorted_tokens, weighted_levenshtein
+from kinweave.functions.similarity import sorted_tokens, weighted_indel
 from kinweave.functions.text import token_set, word_ngrams
 from kinweave.operators.keys import capped_keys, token_frequency
 from kinweave.schema import BlockingConfig
 
 PAIR = ["source1_entity_id", "candidate_entity_id"]
-KEY = ["country_norm", "key_type", "key"]
+#: The most telling column first: sorts compare its first bytes before anything else.
+KEY = ["key", "key_type", "country_norm"]
 Score = Callable[[Column, Column, Column, Column], Column]
 
 
@@ -53,9 +54,9 @@ def with_texts(pairs: DataFrame, s1: DataFrame, targets: DataFrame, columns: lis
     return pairs.join(left, PAIR[0], "left").join(right, PAIR[1], "left")
 
 
-def sorted_scores(pairs: DataFrame, s1: DataFrame, targets: DataFrame, score: Score) -> DataFrame:
-    """The pairs with score of both names and addresses, whose tokens are sorted once per record, not per pair."""
-    sides = [x.select("entity_id", sorted_tokens(F.col("name_norm")).alias("n"), sorted_tokens(F.col("address_norm")).alias("a")) for x in (s1, targets)]
+def prepared_scores(pairs: DataFrame, s1: DataFrame, targets: DataFrame, score: Score, prepare: Callable[[Column], Column] = sorted_tokens) -> DataFrame:
+    """The pairs with score of both names and addresses, each prepared once per record, not per pair."""
+    sides = [x.select("entity_id", prepare(F.col("name_norm")).alias("n"), prepare(F.col("address_norm")).alias("a")) for x in (s1, targets)]
     texts = with_texts(pairs, *sides, ["n", "a"])
     return texts.select(*PAIR, score(F.col("s1_n"), F.col("cand_n"), F.col("s1_a"), F.col("cand_a")).alias("score"))
 
@@ -66,11 +67,11 @@ def top_k(scored: DataFrame, k: int, score: str, rank: str) -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
 
 
-def keyed_candidates(s1: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig(), score: Score = weighted_levenshtein) -> DataFrame:
+def keyed_candidates(s1: DataFrame, targets: DataFrame, config: BlockingConfig = BlockingConfig(), score: Score = weighted_indel, prepare: Callable[[Column], Column] = sorted_tokens) -> DataFrame:
     """keyed_score and keyed_rank of the top_k candidates of each S1 record, within its country."""
     frequency = token_frequency(targets)
     pairs = budgeted_pairs(capped_keys(s1, frequency, config.token_cap), capped_keys(targets, frequency, config.token_cap), config.bucket_cap, config.budget)
-    scored = sorted_scores(pairs, s1, targets, score).select(*PAIR, F.round("score", 9).alias("keyed_score"))
+    scored = prepared_scores(pairs, s1, targets, score, prepare).select(*PAIR, F.round("score", 9).alias("keyed_score"))
     return top_k(scored, config.top_k, "keyed_score", "keyed_rank").withColumn("blocker", F.lit("keyed"))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import similarity as S
-from kinweave.functions.text import char_ngrams, clean_name_tokens, normalize, soundex, split_words, strip_accents_exact, useful_numbers
+from kinweave.functions.text import char_ngrams, clean_name_tokens, normalize, soundex, split_words, strip_accents_exact, token_set, useful_numbers
 from kinweave.operators import blocking as B
 from kinweave.operators import decision, features, keys, learning, metrics, quality, rules
 from kinweave.plans import oracle
 from kinweave.schema import BlockingConfig, DecisionRule
 from kinweave.sources import records as R
 from kinweave.sources import tables
+from kinweave.sources.staging import Stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAIR = B.PAIR
@@ -36,11 +37,12 @@ def _long(column: str) -> F.Column:
 
 
 class Data:
-    """Normalised records, both sides, truth and roster."""
+    """Normalised records, both sides, truth and roster; staged: written once, where a query reads them several times."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.raw = R.records(spark, sf_dir)
-        self.all = normalize(self.raw)
+    def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = False) -> None:
+        stash = Stash(spark) if staged else lambda rows: rows
+        self.raw = stash(R.records(spark, sf_dir))
+        self.all = stash(normalize(self.raw))
         self.s1, self.targets = self.all.where("target_source = 'S1'"), self.all.where("target_source <> 'S1'")
         self.truth = R.truth(self.raw)
         self.roster = self.raw.where("target_source = 'S1'").select(F.col("entity_id").alias(PAIR[0]))
@@ -59,7 +61,7 @@ class Data:
 
     def scored(self) -> DataFrame:
         """The close pairs with a probability (the weighted Levenshtein score) and ranks."""
-        rows = B.sorted_scores(self.close(), self.s1, self.targets, S.weighted_levenshtein).select(*PAIR, micro(F.col("score")).alias("probability"))
+        rows = B.prepared_scores(self.close(), self.s1, self.targets, S.weighted_levenshtein).select(*PAIR, micro(F.col("score")).alias("probability"))
         return decision.probability_rank(rows.withColumn("candidate_rank", F.lit(1)))
 
     def rule_pairs(self) -> DataFrame:
@@ -74,6 +76,11 @@ def query(f: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
     return f
 
 
+def staged_query(f: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Data(spark, sf_dir, True))
+    return f
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["topk_candidates"](spark, sf_dir)
 
@@ -127,18 +134,18 @@ def bucket_sizes(d: Data) -> DataFrame:
     return sizes.groupBy("country_norm", "key_type", "bucket_size", "bucket_records").agg(F.count(F.lit(1)).alias("n_buckets"))
 
 
-@query
+@staged_query
 def capped_keys(d: Data) -> DataFrame:
     _, right = d.capped()
     return right.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_keys"), F.countDistinct("key_type", "key").alias("n_distinct"))
 
 
-@query
+@staged_query
 def key_join_candidates(d: Data) -> DataFrame:
     return d.close().groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_candidates"), F.min(PAIR[1]).alias("first_id"), F.max(PAIR[1]).alias("last_id"))
 
 
-@query
+@staged_query
 def budgeted_candidates(d: Data) -> DataFrame:
     left, right = d.capped()
     pairs = B.budgeted_pairs(left, right, FEW.bucket_cap, FEW.budget)
@@ -146,17 +153,22 @@ def budgeted_candidates(d: Data) -> DataFrame:
     return pairs.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_candidates"), F.sum(number).cast("string").alias("id_sum"))
 
 
-@query
+@staged_query
 def topk_candidates(d: Data) -> DataFrame:
+    return B.keyed_candidates(d.s1, d.targets, FEW, S.weighted_jaccard, token_set).select(*PAIR, _r("keyed_score"), "keyed_rank")
+
+
+@staged_query
+def scored_candidates(d: Data) -> DataFrame:
     return B.keyed_candidates(d.s1, d.targets, FEW).select(*PAIR, _r("keyed_score"), "keyed_rank")
 
 
-@query
+@staged_query
 def token_block_topk(d: Data) -> DataFrame:
     return B.token_candidates(d.s1, d.targets, ["name_norm", "address_numbers"], 5, FEW.token_cap).select(*PAIR, _r("token_score"), "token_rank")
 
 
-@query
+@staged_query
 def tfidf_cosine_topk(d: Data) -> DataFrame:
     names = [x.withColumn("country_norm", F.concat_ws("|", "country_norm", F.substring("name_norm", 1, 2))) for x in (d.s1, d.targets)]
     return B.tfidf_candidates(*names, "name_norm", 3, FEW).select(*PAIR, _r("name_tfidf_score"), "name_tfidf_rank")
@@ -168,12 +180,12 @@ def _two_blockers(d: Data) -> DataFrame:
     return B.combine([token.withColumn("token_score", micro(F.col("token_score"))), first2], FEW.max_candidates)
 
 
-@query
+@staged_query
 def combine_blockers(d: Data) -> DataFrame:
     return _two_blockers(d)
 
 
-@query
+@staged_query
 def candidate_lists(d: Data) -> DataFrame:
     return B.candidate_lists(_two_blockers(d)).select(PAIR[0], F.array_join("candidate_ids", ",").alias("candidate_ids"))
 
@@ -190,35 +202,35 @@ def truth_lists(d: Data) -> DataFrame:
     return rows.withColumn("n_matches", F.size(tables.parse_ids(F.col("matched_entity_ids"))).cast("long"))
 
 
-@query
+@staged_query
 def label_pairs(d: Data) -> DataFrame:
     known = d.truth.withColumn("label", F.lit(1))
     rows = d.close().join(known, PAIR, "left").withColumn("label", F.coalesce("label", F.lit(0)))
     return rows.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("label").alias("n_positive"))
 
 
-@query
+@staged_query
 def entity_fbeta(d: Data) -> DataFrame:
     return metrics.entity_fbeta(d.roster, d.close(), d.truth).select(PAIR[0], *map(_long, ("n_pred", "n_true", "n_hit")), _r("fbeta"))
 
 
-@query
+@staged_query
 def macro_fbeta(d: Data) -> DataFrame:
     return metrics.macro_fbeta(d.roster, d.rule_pairs(), d.truth).select(_r("macro_fbeta"))
 
 
-@query
+@staged_query
 def blocking_audit(d: Data) -> DataFrame:
     out = metrics.blocking_audit(d.roster, d.close(), d.truth)
     return out.select(*map(_r, out.columns))
 
 
-@query
+@staged_query
 def miss_breakdown(d: Data) -> DataFrame:
     return metrics.miss_breakdown(d.roster, d.close(), d.truth)
 
 
-@query
+@staged_query
 def non_empty_rate(d: Data) -> DataFrame:
     out = metrics.non_empty_rate(d.roster, d.rule_pairs())
     return out.select(*map(_r, out.columns))
@@ -236,27 +248,27 @@ STRUCTURES = ["same_country", "candidate_is_s2", "candidate_is_s3", "name_length
 PREFIXES = ["name_prefix4_match", "address_prefix4_match"]
 
 
-@query
+@staged_query
 def jaccard_features(d: Data) -> DataFrame:
     return _native(d, JACCARDS)
 
 
-@query
+@staged_query
 def overlap_features(d: Data) -> DataFrame:
     return _native(d, OVERLAPS)
 
 
-@query
+@staged_query
 def levenshtein_features(d: Data) -> DataFrame:
     return _native(d, LEVENSHTEINS)
 
 
-@query
+@staged_query
 def structural_features(d: Data) -> DataFrame:
     return _native(d, STRUCTURES)
 
 
-@query
+@staged_query
 def prefix_features(d: Data) -> DataFrame:
     return _native(d, PREFIXES)
 
@@ -266,50 +278,50 @@ def _batched(d: Data, names: list[str]) -> DataFrame:
     return d.close_texts().select(*PAIR, *[made[n].alias(n) for n in names]).select(*PAIR, *map(_r, names))
 
 
-@query
+@staged_query
 def jaro_winkler(d: Data) -> DataFrame:
     return _batched(d, ["name_jaro_winkler", "address_jaro_winkler"])
 
 
-@query
+@staged_query
 def token_sort_ratio(d: Data) -> DataFrame:
     return _batched(d, ["name_token_sort_ratio", "address_token_sort_ratio"])
 
 
-@query
+@staged_query
 def token_set_ratio(d: Data) -> DataFrame:
     return _batched(d, ["name_token_set_ratio", "address_token_set_ratio"])
 
 
-@query
+@staged_query
 def sequence_ratio(d: Data) -> DataFrame:
     return _batched(d, ["name_sequence_ratio", "address_sequence_ratio"])
 
 
-@query
+@staged_query
 def pair_features(d: Data) -> DataFrame:
     return features.pair_features(_two_blockers(d), d.s1, d.targets, d.truth)
 
 
-@query
+@staged_query
 def predict_threshold_cap(d: Data) -> DataFrame:
     rows = decision.predict(d.scored(), DecisionRule(threshold=0.6, cap=3, bipartite=False))
     lists = decision.link_lists(d.roster, rows)
     return lists.select(PAIR[0], F.array_join("ids", ",").alias("ids"))
 
 
-@query
+@staged_query
 def predict_source_specific(d: Data) -> DataFrame:
     rows = decision.predict(d.scored(), DecisionRule(None, 0.5, 0.8, 4, False))
     return rows.select(*PAIR, "probability", "prob_rank")
 
 
-@query
+@staged_query
 def exclusive_assignment(d: Data) -> DataFrame:
     return decision.decide(d.scored(), DecisionRule(threshold=0.4, cap=None, bipartite=True)).select(*PAIR, "probability")
 
 
-@query
+@staged_query
 def tune_rule_grid(d: Data) -> DataFrame:
     return decision.rule_grid(d.scored(), d.truth, d.roster, THRESHOLDS, CAPS).select("threshold", F.coalesce("cap", F.lit(0)).alias("cap"), _r("macro_f05"))
 
@@ -319,17 +331,17 @@ def exact_links(d: Data) -> DataFrame:
     return rules.exact_links(d.s1, d.targets)
 
 
-@query
+@staged_query
 def rule_matcher(d: Data) -> DataFrame:
     return d.rule_pairs()
 
 
-@query
+@staged_query
 def evidence_weights(d: Data) -> DataFrame:
     return rules.weighted_evidence(d.s1, d.targets, 50).groupBy("weight").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-@query
+@staged_query
 def fuzzy_matcher(d: Data) -> DataFrame:
     return rules.fuzzy_links(d.s1, d.targets, token_cap=50)
 
@@ -346,7 +358,7 @@ def stratified_split(d: Data) -> DataFrame:
     return learning.three_way_split(counts)
 
 
-@query
+@staged_query
 def downsample_negatives(d: Data) -> DataFrame:
     known = d.truth.withColumn("label", F.lit(1))
     return learning.downsample_negatives(d.close().join(known, PAIR, "left").withColumn("label", F.coalesce("label", F.lit(0))), 2)
@@ -358,12 +370,12 @@ def dup_rows_check(d: Data) -> DataFrame:
     return features.duplicate_ids(keyed).select(F.col("entity_id").alias("record_key"), F.col("n").alias("n_rows"))
 
 
-@query
+@staged_query
 def subset_check(d: Data) -> DataFrame:
     return quality.outside_candidates(d.rule_pairs(), d.close())
 
 
-@query
+@staged_query
 def missing_ids(d: Data) -> DataFrame:
     return quality.missing_ids(d.roster, d.rule_pairs())
 
@@ -376,7 +388,7 @@ def list_audit(d: Data) -> DataFrame:
     return out.select(*map(_long, out.columns))
 
 
-@query
+@staged_query
 def multi_owner_targets(d: Data) -> DataFrame:
     return quality.multi_owner_targets(d.close())
 
@@ -393,7 +405,7 @@ def non_latin_audit(d: Data) -> DataFrame:
     return quality.non_latin_audit(d.raw)
 
 
-@query
+@staged_query
 def country_stats(d: Data) -> DataFrame:
     out = quality.country_summary(d.raw.where("target_source = 'S1'"), d.rule_pairs())
     return out.select("country", _long("n_records"), _long("n_linked"), _r("mean_links"))
@@ -404,7 +416,7 @@ def country_spellings(d: Data) -> DataFrame:
     return quality.country_spellings(d.all)
 
 
-@query
+@staged_query
 def missed_pair_diagnosis(d: Data) -> DataFrame:
     missed = quality.outside_candidates(d.truth, d.rule_pairs())
     return B.missed_pairs_shared_keys(missed, d.s1, d.targets, keys.token_frequency(d.targets), FEW.token_cap)
@@ -420,7 +432,7 @@ def clean_tokens(d: Data) -> DataFrame:
     return d.all.select("entity_id", F.array_join(F.array_sort(clean_name_tokens(F.col("name_norm"))), " ").alias("tokens"))
 
 
-@query
+@staged_query
 def gbt_scored_pairs(d: Data) -> DataFrame:
     made = features.native_features()
     names = [*JACCARDS, *OVERLAPS, *LEVENSHTEINS, *STRUCTURES, *PREFIXES]

@@ -433,8 +433,14 @@ SELECT country_norm, key_type, bucket_size, bucket_records, count(*) AS n_bucket
         "capped_keys": capped + """ SELECT entity_id, count(*) AS n_keys, count(DISTINCT key_type || '=' || "key") AS n_distinct FROM capped WHERE target_source <> 'S1' GROUP BY entity_id""",
         "key_join_candidates": close + f" SELECT {S1}, count(*) AS n_candidates, min({CAND}) AS first_id, max({CAND}) AS last_id FROM close GROUP BY {S1}",
         "budgeted_candidates": _with(RECORDS, NORM, KEYED, FREQUENCY, BUDGET) + f" SELECT {S1}, count(*) AS n_candidates, CAST(sum(CAST(split_part({CAND}, '-', 2) AS HUGEINT)) AS VARCHAR) AS id_sum FROM budgeted GROUP BY {S1}",
-        "topk_candidates": _with(RECORDS, NORM, KEYED, FREQUENCY, BUDGET, _texts("budgeted"), SORTED_TEXTS)
-        + f" SELECT {S1}, {CAND}, round(round(raw, 9), 6) AS keyed_score, CAST(r AS INTEGER) AS keyed_rank FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY round(raw, 9) DESC, {CAND}) AS r FROM weighed) WHERE r <= 5",
+        "topk_candidates": _with(RECORDS, NORM, KEYED, FREQUENCY, BUDGET)
+        + f""", sets AS (SELECT entity_id, {_token_set("name_norm")} AS n, {_token_set("address_norm")} AS a FROM norm),
+weighed AS (
+  SELECT p.{S1}, p.{CAND}, round(CAST(0.7 AS DOUBLE) * ({_jac("x.n", "y.n")}) + CAST(0.3 AS DOUBLE) * ({_jac("x.a", "y.a")}), 9) AS score
+  FROM budgeted p JOIN sets x ON x.entity_id = p.{S1} JOIN sets y ON y.entity_id = p.{CAND}
+)
+SELECT {S1}, {CAND}, round(score, 6) AS keyed_score, CAST(r AS INTEGER) AS keyed_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY score DESC, {CAND}) AS r FROM weighed) WHERE r <= 5""",
         "token_block_topk": _with(RECORDS, NORM, _token_block(5)) + " SELECT * FROM token_top",
         "tfidf_cosine_topk": _with(RECORDS, NORM, _tfidf(3)) + " SELECT * FROM tfidf_top",
         "combine_blockers": scored + "," + COMBINED + " SELECT * FROM combined",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.sources.staging import spread
+
 RUN, NAME = 16, 6
 
 
@@ -19,7 +21,7 @@ def _joined(words: Column) -> Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """number, entity_id, business_name, business_address, country, target_source of every record."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
     runs = F.greatest(F.lit(1), F.ceil(F.size("words") / RUN).cast("int"))
     cut = docs.withColumn("words", words).withColumn("run", F.explode(F.sequence(F.lit(0), runs - 1)))

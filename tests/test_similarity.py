@@ -56,3 +56,13 @@ def test_udfs_match_functions(spark):
     got = rows.selectExpr("indel_ratio(a, b) r", "token_sort_ratio(a, b) s", "token_set_ratio(a, b) t", "jaro_winkler(a, b) j", "sequence_ratio(a, b) q").collect()
     for r, (a, b) in zip(got, [("ab cd", "cd ab x"), ("", "a"), ("", "")], strict=True):
         assert tuple(r) == (S.indel_ratio(a, b), S.token_sort(a, b), S.token_set(a, b), S.jaro_winkler(a, b), S.sequence_ratio(a, b))
+
+
+LONG = st.one_of(WORD, st.text("abé日 ", min_size=55, max_size=75))
+
+
+@given(st.lists(st.tuples(LONG, LONG), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_many_pairs_at_once(pairs):
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert S.common_subsequences(left, right).tolist() == [S.common_subsequence(a, b) for a, b in pairs]
