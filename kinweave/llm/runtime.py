@@ -1,15 +1,17 @@
-"""What the operators share: shared storage for intermediate tables, importable workers, range bounds."""
+"""What the operators share: importable workers, range bounds, word counts."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.sources.staging import Stash, shared_dir
+
+__all__ = ["Stash", "importable", "partitions", "range_index", "shared_dir", "word_count"]
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from the path the driver uses."""
@@ -19,40 +21,6 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{root}".strip(":")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-class Stash:
-    """Intermediate tables written to the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/kinweave-{uuid.uuid4().hex}"
-        self.number = 0
-
-    def __call__(self, frame: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.number}"
-        self.number += 1
-        frame.write.parquet(path)
-        out = self.spark.read.schema(frame.schema).parquet(path)
-        out.stash_path = path  # type: ignore[attr-defined]
-        return out
-
-    def drop(self, frame: DataFrame) -> None:
-        """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(frame.stash_path)  # type: ignore[attr-defined]
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
