@@ -164,20 +164,19 @@ def _parser(samples: dict[str, str]) -> CrossParser:
     return _models[key]
 
 
-def learn(labelled: DataFrame, text: str, lang: str, key: Column, sample_chars: int = 40_000) -> dict[str, str]:
-    """A sample of at most sample_chars characters of each language, from rows taken by a hash of key.
+def learn(labelled: DataFrame, text: str, lang: str, key: Column, sample_chars: int = 40_000, total_chars: int = 4_000_000) -> dict[str, str]:
+    """A sample of at most sample_chars characters of each language, and total_chars of all, from rows taken by a hash of key.
 
-    The expected size of what reaches the driver is three times that for each language.
+    The expected size of what reaches the driver is three times that; every row counts towards its language's size.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("order")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("order").isNotNull())
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("order")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & key.isNotNull())
     sizes = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
     if not sizes:
         return {}
-    edge = F.lit(None).cast("long")
-    for name in sorted(sizes):
-        share = min(1.0, 3 * sample_chars / max(1, sizes[name]))
-        edge = F.when(F.col("lang") == name, F.lit(int(-(2**63) + share * (2**64 - 1) * (1 - 1e-12)))).otherwise(edge)
-    taken = rows.where(F.col("order") <= edge).select("lang", F.substring("text", 1, sample_chars).alias("text"), "order").collect()
+    sample_chars = max(1, min(sample_chars, total_chars // len(sizes)))
+    shares = [(name, int(-(2**63) + min(1.0, 3 * sample_chars / max(1, n)) * (2**64 - 1) * (1 - 1e-12))) for name, n in sorted(sizes.items())]
+    edges = labelled.sparkSession.createDataFrame(shares, "of string, edge long")
+    taken = rows.join(edges, F.col("lang") == F.col("of")).where("order <= edge").select("lang", F.substring("text", 1, sample_chars).alias("text"), "order").collect()
     out: dict[str, str] = {}
     seen = set()
     for r in sorted(taken, key=lambda r: (r.lang, r.order, r.text)):
