@@ -1,4 +1,6 @@
+import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,31 +12,38 @@ COUNTER = tokens.PieceCounter(PATH)
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 
-@given(st.lists(st.text(st.sampled_from(" ▁ab\n\té.THE日 　<s>/0🙂"), max_size=25), max_size=5))
+def counted(texts):
+    block = tokens.Block()
+    for i, t in enumerate(texts):
+        block.add(i, t)
+    pieces = np.array(COUNTER.pieces(list(block.number)), np.int64)
+    return tokens.summed(pieces, np.array(block.distinct, np.int64), np.array(block.places, np.int32), np.array(block.frequencies, np.int32)).tolist()
+
+
+@given(st.lists(st.text(st.sampled_from(" ▁ab\n\té.THE日 　<s>/0🙂"), max_size=25), max_size=5))
 @settings(max_examples=500, deadline=None)
 def test_counts_equal_the_library(texts):
-    assert COUNTER.count(texts).tolist() == [len(x) for x in MODEL.encode(texts)] if texts else True
+    assert counted(texts) == [len(MODEL.encode(t)) for t in texts]
 
 
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_text(text):
-    assert COUNTER.count([text])[0] == len(MODEL.encode(text))
+    assert counted([text]) == [len(MODEL.encode(text))]
 
 
-def test_bounded_table(monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT", 2)
-    counter = tokens.PieceCounter(PATH)
-    texts = [f"word{i} other{i}" for i in range(50)]
-    assert counter.count(texts).tolist() == [len(x) for x in MODEL.encode(texts)]
-    assert counter.count(texts[::-1]).tolist() == [len(x) for x in MODEL.encode(texts[::-1])]
-    assert len(counter.known) <= 150
+def test_pretokens_are_counted_once():
+    block = tokens.Block()
+    for t in ["a b a b", "b a", "a  b"]:
+        block.add(1, t)
+    assert list(block.number) == ["a", "b", " b"] and block.frequencies == [2, 2, 1, 1, 1, 1] and block.distinct == [2, 2, 2]
 
 
-def test_whole_table(spark, sample, odd_docs, no_docs):
+@pytest.mark.parametrize("block_chars", [1, 5000, tokens.BLOCK_CHARS])
+def test_whole_table(spark, sample, odd_docs, no_docs, block_chars):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
-    for frame in (docs, odd_docs):
+    for frame in (docs, odd_docs.repartition(3)):
         texts = [(r.doc_id, r.text or "") for r in frame.select("doc_id", "text").collect()]
         want = sorted(((i, len(t.encode()), len(MODEL.encode(t)), len(MODEL.encode(t)) > 4096) for i, t in texts), key=repr)
-        assert sorted((tuple(r) for r in tokens.token_counts(frame, PATH).collect()), key=repr) == want
+        assert sorted((tuple(r) for r in tokens.token_counts(frame, PATH, block_chars=block_chars).collect()), key=repr) == want
     assert tokens.token_counts(no_docs, PATH).count() == 0
