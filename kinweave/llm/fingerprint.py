@@ -19,12 +19,13 @@ row of a table is its own next document; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,6 +150,18 @@ def _edit_rows(texts: list[str], others: list[str]) -> tuple[Sums, Sums, list[st
     return whole, plus(minus(whole, old), new), shas
 
 
+def _bucket(doc_id: Column, text_hash: Column, shares: Counter) -> Column:
+    """The range of an id. An id that several bounds fall on is split by ranges of its texts' hashes, in the rows' order."""
+    base = range_index(doc_id, sorted(shares))
+    hot = {c: n for c, n in shares.items() if n > 1}
+    part = F.lit(0)
+    for at, c in enumerate(sorted(shares), 1):
+        if c in hot:
+            own = F.floor((text_hash.cast("double") / 2.0**64 + 0.5) * hot[c]).cast("int")
+            part = F.when(base == at, F.when(doc_id == c, F.least(own, F.lit(hot[c] - 1))).otherwise(F.lit(hot[c]))).otherwise(part)
+    return (base * (max(hot.values(), default=0) + 1) + part).cast("long")
+
+
 def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
@@ -160,21 +173,16 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str =
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     wanted = buckets or min(512, 4 * partitions(spark))
     cuts = rows.where("doc_id is not null").approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
-    bounds = sorted({int(c) for c in cuts})
-    dealt = rows.withColumn("bucket", range_index(F.col("doc_id"), bounds))
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("first")
-    heads = [(r.bucket, r.first.id) for r in dealt.groupBy("bucket").agg(first).orderBy("bucket").collect()]
-    before = {h[0]: heads[i - 1][0] for i, h in enumerate(heads)}
-    # a range's first id -> the range before it; the last range is followed by the first
-    ids = [i for _, i in heads if i is not None]
-    host = F.create_map(*[F.lit(x) for b, i in heads if i is not None for x in (i, before[b])]) if ids else F.lit(None)
-    guest = F.try_element_at(host, F.col("doc_id")) if ids else F.lit(None).cast("int")
-    for b, i in heads:
-        if i is None:
-            guest = F.when(F.col("doc_id").isNull(), F.lit(before[b])).otherwise(guest)
-    own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest"))
-    both = F.array(own, F.struct(guest.alias("to"), F.lit(True).alias("guest")))
-    spread = dealt.withColumn("at", F.explode(F.when(guest.isNull(), F.array(own)).otherwise(both))).select("at.to", "at.guest", "doc_id", "text")
+    shares = Counter(int(c) for c in cuts)
+    dealt = rows.withColumn("bucket", _bucket(F.col("doc_id"), F.xxhash64("text"), shares))
+    order = [F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")]
+    heads = [(r.bucket, r.first.id, r.first.hash) for r in dealt.groupBy("bucket").agg(F.min(F.struct(*order)).alias("first")).orderBy("bucket").collect()]
+    # the first row of each range goes also to the range before it; the last range is followed by the first
+    hosts = [(heads[i - 1][0], i_d, h) for i, (_, i_d, h) in enumerate(heads)]
+    guests = dealt.where(F.col("doc_id").isin([i for _, i, _ in hosts if i is not None]) | F.col("doc_id").isNull())
+    guests = guests.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(spark.createDataFrame(hosts, "to long, id long, first long"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("first")))
+    guests = guests.groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("to", F.lit(True).alias("guest"), "row.doc_id", "row.text")
+    spread = dealt.select(F.col("bucket").alias("to"), F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
     ordered = spread.repartition(F.col("to")).sortWithinPartitions("to", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     out = T.StructType(
         [

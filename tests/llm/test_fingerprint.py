@@ -83,3 +83,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     alone = f.edited_fingerprints(odd_docs.where("doc_id = 1")).first()
     assert alone.near_next == 1.0
     assert len({r.edited_sha256 for r in f.edited_fingerprints(odd_docs.where("doc_id = 2")).collect()}) == 1
+
+
+def test_a_hot_id_is_split(spark):
+    rnd = random.Random(3)
+    rows = [(50 if i % 3 == 0 else i, f"text {rnd.random()} of\nrow {i}") for i in range(120)] + [(50, "the same row")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = f.edited_fingerprints(frame, buckets=12).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    ranked = sorted(rows, key=lambda r: (r[0], order_hash(spark, r[1])))
+    want = sorted((i, hashlib.sha256(f.edited_text(t, ranked[(n + 1) % len(ranked)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(ranked))
+    assert sorted((r.doc_id, r.edited_sha256) for r in got) == want
+    shares = f.Counter({50: 4, 70: 1})
+    buckets = frame.select(f._bucket(frame.doc_id, f.F.xxhash64("text"), shares).alias("b")).groupBy("b").count().collect()
+    assert len(buckets) == 7
+
+
+_hashes: dict = {}
+
+
+def order_hash(spark, text):
+    if text not in _hashes:
+        _hashes[text] = spark.range(1).select(f.F.xxhash64(f.F.lit(text))).first()[0]
+    return _hashes[text]
