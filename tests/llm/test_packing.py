@@ -10,30 +10,30 @@ from kinweave.llm import packing
 def plain(pieces, capacity):
     """Best fit by looking at every bin: the tightest without a conflict, the longest at that residual first."""
     bins, out, clock = [], [], 0
-    for size, source, cluster in pieces:
-        fit = [b for b in bins if b["left"] >= size and (source is None or source not in b["s"]) and (cluster is None or cluster not in b["c"])]
+    for size, source, cluster, most in pieces:
+        fit = [b for b in bins if b["left"] >= size and (source is None or b["s"].count(source) < most) and (cluster is None or cluster not in b["c"])]
         b = min(fit, key=lambda b: (b["left"], b["since"]), default=None)
         if b is None:
-            b = {"n": len(bins), "left": capacity, "s": set(), "c": set(), "since": 0}
+            b = {"n": len(bins), "left": capacity, "s": [], "c": set(), "since": 0}
             bins.append(b)
         out.append((b["n"], capacity - b["left"]))
         clock += 1
         b["left"] -= size
         b["since"] = clock
-        b["s"].add(source)
+        b["s"].append(source)
         b["c"].add(cluster)
     return out
 
 
-@given(st.lists(st.tuples(st.integers(0, 20), st.sampled_from([None, "a", "b", "c"]), st.sampled_from([None, 1, 2, 3, 4])), max_size=40))
+@given(st.lists(st.tuples(st.integers(0, 20), st.sampled_from([None, "a", "b", "c"]), st.sampled_from([None, 1, 2, 3, 4])), max_size=40), st.fixed_dictionaries({k: st.integers(1, 3) for k in (None, "a", "b", "c")}))
 @settings(max_examples=300, deadline=None)
-def test_best_fit_equals_looking_at_every_bin(pieces):
-    pieces.sort(key=lambda p: -p[0])
+def test_best_fit_equals_looking_at_every_bin(pieces, most):
+    pieces = sorted(((n, s, c, most[s]) for n, s, c in pieces), key=lambda p: -p[0])
     assert packing.pack_group(pieces, 20) == plain(pieces, 20)
 
 
-def checked(frame, capacity, group_rows=2048):
-    rows = packing.pack(frame, capacity, group_rows).collect()
+def checked(frame, capacity, group_rows=2048, per_source=1):
+    rows = packing.pack(frame, capacity, group_rows, per_source).collect()
     used = defaultdict(list)
     for r in rows:
         used[r.bin_id].append(r)
@@ -79,3 +79,14 @@ def test_equal_rows_are_spread_over_bins(spark):
     rows, used = checked(frame, 50, 10)
     assert all(sum(r.doc_id == 5 for r in own) <= 1 for own in used.values())
     assert sorted(r.copy for r in rows if r.doc_id == 5) == list(range(40))
+
+
+def test_a_hot_source_gets_its_share_of_a_bin(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(f"w{rnd.random()}" for _ in range(rnd.randrange(5, 20))), "hot" if i % 3 == 0 else f"s{i % 20}" if i % 7 else None, "") for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    source = {i: s for i, _, s, _ in rows}
+    got, used = checked(frame, 50, 300, None)
+    most = max(sum(source[r.doc_id] == "hot" for r in own) for own in used.values())
+    assert most == 2 and max(sum(source[r.doc_id] == "s1" for r in own) for own in used.values()) == 1
+    assert sum(r.n_words for r in got) / len(used) / 50 > 0.9
