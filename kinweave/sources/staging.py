@@ -19,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_roots: dict[str, None] = {}
+
+
 class Stash:
     """Intermediate tables written to the shared folder: they cut lineage and survive lost executors."""
 
@@ -26,6 +29,7 @@ class Stash:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinweave-{uuid.uuid4().hex}"
         self.number = 0
+        _roots[self.root] = None
 
     def __call__(self, frame: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.number}"
@@ -37,9 +41,19 @@ class Stash:
 
     def drop(self, frame: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(frame.stash_path)  # type: ignore[attr-defined]
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, frame.stash_path)  # type: ignore[attr-defined]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this driver has staged, once no result that reads them is needed any more."""
+    for root in list(_roots):
+        _delete(spark, root)
+        del _roots[root]
 
 
 def spread(rows: DataFrame) -> DataFrame:

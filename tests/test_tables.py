@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import quality as Q
 from kinweave.operators import rules
-from kinweave.sources import sinks, tables
+from kinweave.sources import sinks, staging, tables
 
 S1, C = "source1_entity_id", "candidate_entity_id"
 
@@ -78,3 +78,13 @@ def test_cache_and_package(spark, tmp_path):
     assert sinks.read_json(str(tmp_path / "x/m.json")) == {"a": 1}
     sinks.package({"in/m.json": str(tmp_path / "x/m.json")}, str(tmp_path / "p.zip"))
     assert (tmp_path / "p.zip").stat().st_size > 0
+
+
+def test_staged_tables(spark):
+    stash = staging.Stash(spark)
+    one, two = stash(spark.range(3)), stash(spark.range(5))
+    stash.drop(one)
+    assert two.count() == 5
+    staging.clear(spark)
+    with pytest.raises(Exception, match="(?i)path|exist|file"):
+        spark.read.parquet(two.stash_path).count()
