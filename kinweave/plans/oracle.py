@@ -467,6 +467,11 @@ count(*) FILTER (n_hit > 0 AND n_hit < n_true) AS partial, count(*) FILTER (n_hi
         "levenshtein_features": _features(LEVENSHTEINS),
         "structural_features": _features(STRUCTURES),
         "prefix_features": _features(PREFIXES),
+        "jaro_winkler": _with(RECORDS, NORM, KEYED, CLOSE, _texts("close"))
+        + f" SELECT {S1}, {CAND}, "
+        + ", ".join(f"round(CASE WHEN s1_{k}_norm = cand_{k}_norm THEN 1.0 ELSE jaro_winkler_similarity(s1_{k}_norm, cand_{k}_norm) END, 6) AS {k}_jaro_winkler" for k in ("name", "address"))
+        + " FROM pair_texts",
+        "strip_accents_full": _with(RECORDS) + " SELECT entity_id, lower(strip_accents(business_name)) AS folded FROM records",
         "predict_threshold_cap": scored + f" SELECT r.{S1}, coalesce(string_agg(s.{CAND}, ',' ORDER BY s.prob_rank), '') AS ids FROM roster r LEFT JOIN (SELECT * FROM scored WHERE probability >= 0.6 AND prob_rank <= 3) s USING ({S1}) GROUP BY r.{S1}",
         "predict_source_specific": scored + f" SELECT {S1}, {CAND}, probability, CAST(prob_rank AS INTEGER) AS prob_rank FROM scored WHERE prob_rank <= 4 AND probability >= CASE WHEN starts_with({CAND}, 'S2-') THEN 0.5 ELSE 0.8 END",
         "exclusive_assignment": scored + f" SELECT {S1}, {CAND}, probability FROM (SELECT *, row_number() OVER (PARTITION BY {CAND} ORDER BY probability DESC, {S1}) AS o FROM scored WHERE probability >= 0.4) WHERE o = 1",
