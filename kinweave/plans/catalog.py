@@ -15,7 +15,7 @@ from kinweave.plans import oracle
 from kinweave.schema import BlockingConfig, DecisionRule
 from kinweave.sources import records as R
 from kinweave.sources import tables
-from kinweave.sources.staging import Stash
+from kinweave.sources.staging import Stash, importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAIR = B.PAIR
@@ -40,6 +40,7 @@ class Data:
     """Normalised records, both sides, truth and roster; staged: written once, where a query reads them several times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = False) -> None:
+        importable(spark)
         stash = Stash(spark) if staged else lambda rows: rows
         self.raw = stash(R.records(spark, sf_dir))
         self.all = stash(normalize(self.raw))
