@@ -1,26 +1,15 @@
-"""What the operators share: importable workers, range bounds, word counts."""
+"""What the operators share: staged tables and importable workers (from the library), range bounds, word counts."""
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.sources.staging import Stash, shared_dir
+from kinweave.sources.staging import Stash, importable, shared_dir
 
 __all__ = ["Stash", "importable", "partitions", "range_index", "shared_dir", "word_count"]
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from the path the driver uses."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(":") + os.environ.get("PYTHONPATH", "").split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{root}".strip(":")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
