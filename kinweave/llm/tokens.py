@@ -5,11 +5,12 @@ characters after it. No piece of the vocabulary has another character before a U
 is loaded), so no merge crosses the border of two pre-tokens and a text has as many pieces as its pre-tokens
 together.
 
-Documents are read in blocks of a few megabytes. A block keeps, for each document, how often each of its distinct
-pre-tokens occurs, by the pre-token's place in the block's vocabulary. The vocabularies of all blocks give the
-distinct pre-tokens of the corpus; the library counts the pieces of each of them once. The counts are joined back to
-the vocabularies, and a block's documents sum count times frequency. So what is moved is the blocks' vocabularies and
-not the pairs of document and pre-token, which are about ten times as many; ids of whole texts never exist.
+Documents are read in blocks of a few megabytes. A block holds, for each document, how often each of its distinct
+pre-tokens occurs, by the pre-token's place in the block's vocabulary. The library counts the pieces of each distinct
+pre-token once; the counts are joined to the frequencies by place, and a document sums count times frequency. Ids of
+whole texts never exist. A worker keeps the counts of short pre-tokens in a table of bounded size, so frequent ones are
+counted once for all its blocks. Nothing is shuffled: a join across the whole corpus would move the vocabularies and the
+frequencies, which are larger than the texts (figures in the README).
 
 Defined results: null counts as the empty text (0 bytes, 0 tokens); repeated rows are counted each; a text
 without spaces is one pre-token, however long; an empty table gives no rows.
@@ -23,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.runtime import Stash, importable
+from kinweave.llm.runtime import importable
 
 MARK = "▁"
 PRETOKEN = re.compile(r"[^ ▁]+|[ ▁]+[^ ▁]*")
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 22
+#: Pre-tokens whose counts a worker keeps, and their length at most.
+KEPT, SHORT = 300_000, 40
 _counters: dict[str, "PieceCounter"] = {}
 
 
@@ -60,9 +63,16 @@ class PieceCounter:
         if self.model.encode("a", out_type=str)[:1] == ["a"] or self.model.normalize("  a  b ") != f"{MARK * 3}a{MARK * 2}b{MARK}":
             raise ValueError("this model's normaliser drops or adds spaces in another way")
 
-    def pieces(self, distinct: list[str]) -> list[int]:
+        self.known: dict[str, int] = {"": 1}
+
+    def pieces(self, distinct: list[str]) -> np.ndarray:
         """The number of pieces of each pre-token."""
-        return [len(x) if p else 1 for p, x in zip(distinct, self.model.encode(distinct, num_threads=1), strict=True)] if distinct else []
+        new = [x for x in distinct if x not in self.known]
+        got = dict(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True)) if new else {}
+        out = np.array([self.known[x] if x in self.known else got[x] for x in distinct], np.int64)
+        if len(self.known) < KEPT:
+            self.known.update((x, n) for x, n in got.items() if len(x) <= SHORT)
+        return out
 
 
 def _counter(path: str) -> PieceCounter:
@@ -76,82 +86,45 @@ class Block:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids: list = []
-        self.n_bytes: list[int] = []
         self.distinct: list[int] = []
         self.places: list[int] = []
         self.frequencies: list[int] = []
         self.chars = 0
 
-    def add(self, doc_id: object, text: str) -> None:
+    def add(self, text: str) -> None:
         counts = Counter(pretokens(text))
-        self.ids.append(doc_id)
-        self.n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
         self.distinct.append(len(counts))
         self.places += [self.number.setdefault(x, len(self.number)) for x in counts]
         self.frequencies += counts.values()
         self.chars += len(text)
 
-    def row(self, block: int, id_type: pa.DataType) -> pa.RecordBatch:
-        columns = [
-            pa.array([block], pa.int64()),
-            pa.array([self.ids], pa.list_(id_type)),
-            pa.array([self.n_bytes], pa.list_(pa.int64())),
-            pa.array([np.array(self.distinct, np.int64).tobytes()], pa.binary()),
-            pa.array([np.array(self.places, np.int32).tobytes()], pa.binary()),
-            pa.array([np.array(self.frequencies, np.int32).tobytes()], pa.binary()),
-            pa.array([list(self.number)], pa.list_(pa.string())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["block", "ids", "n_bytes", "distinct", "places", "frequencies", "vocabulary"])
-
-
-def summed(pieces: np.ndarray, distinct: np.ndarray, places: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
-    """Tokens of each document of a block."""
-    total = np.concatenate([[0], np.cumsum(pieces[places] * frequencies.astype(np.int64))]) if len(places) else np.zeros(1, np.int64)
-    ends = np.cumsum(distinct)
-    return total[ends] - total[ends - distinct]
+    def tokens(self, pieces: np.ndarray) -> np.ndarray:
+        """Tokens of each document, from the pieces of each place of the vocabulary."""
+        weights = pieces[np.array(self.places, np.int64)] * np.array(self.frequencies, np.int64) if self.places else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(weights)])
+        ends = np.cumsum(np.array(self.distinct, np.int64))
+        return total[ends] - total[ends - np.array(self.distinct, np.int64)]
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_column: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
     importable(docs.sparkSession)
-    stash = Stash(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, number, kind = Block(), TaskContext.get().partitionId() << 32, None
-        for batch in batches:
-            kind = batch.column(0).type
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block.add(doc_id, value or "")
-                if block.chars >= block_chars:
-                    yield block.row(number, kind)
-                    block, number = Block(), number + 1
-        if block.ids:
-            yield block.row(number, kind)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.pieces(batch.column(0).to_pylist()), pa.int32())], ["pretoken", "pieces"])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, n_bytes = batch.column(0)[i].values, batch.column(1)[i].values
-                distinct, places, frequencies = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((2, np.int64), (3, np.int32), (4, np.int32)))
-                known = batch.column(5)[i].values
-                pieces = np.zeros(0 if known is None else len(known), np.int64)
-                if len(pieces):
-                    pieces[known.field(0).to_numpy()] = known.field(1).to_numpy()
-                n = summed(pieces, distinct, places, frequencies)
-                yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    held = stash(rows.mapInArrow(blocks, f"block long, ids array<{id_type}>, n_bytes array<long>, distinct binary, places binary, frequencies binary, vocabulary array<string>"))
-    vocabulary = held.select("block", F.posexplode("vocabulary").alias("place", "pretoken"))
-    counted = vocabulary.select("pretoken").distinct().mapInArrow(count, "pretoken string, pieces int")
-    known = vocabulary.join(counted, "pretoken").groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("known"))
-    whole = held.select("block", "ids", "n_bytes", "distinct", "places", "frequencies").join(known, "block", "left")
-    out = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    return whole.select("ids", "n_bytes", "distinct", "places", "frequencies", "known").mapInArrow(add_up, out)
+            column = batch.column(1).fill_null("")
+            counts, block = [np.zeros(0, np.int64)], Block()
+            for value in column.to_pylist():
+                block.add(value)
+                if block.chars >= block_chars:
+                    counts.append(block.tokens(counter.pieces(list(block.number))))
+                    block = Block()
+            counts.append(block.tokens(counter.pieces(list(block.number))))
+            n = np.concatenate(counts)
+            size = pa.compute.binary_length(column.cast(pa.large_binary())).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n), pa.array(n > limit)], schema.names)
+
+    return rows.mapInArrow(run, schema)

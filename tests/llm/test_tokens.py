@@ -1,4 +1,3 @@
-import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -14,10 +13,9 @@ MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 def counted(texts):
     block = tokens.Block()
-    for i, t in enumerate(texts):
-        block.add(i, t)
-    pieces = np.array(COUNTER.pieces(list(block.number)), np.int64)
-    return tokens.summed(pieces, np.array(block.distinct, np.int64), np.array(block.places, np.int32), np.array(block.frequencies, np.int32)).tolist()
+    for t in texts:
+        block.add(t)
+    return block.tokens(COUNTER.pieces(list(block.number))).tolist()
 
 
 @given(st.lists(st.text(st.sampled_from(" ▁ab\n\té.THE日 　<s>/0🙂"), max_size=25), max_size=5))
@@ -35,10 +33,21 @@ def test_any_text(text):
 def test_pretokens_are_counted_once():
     block = tokens.Block()
     for t in ["a b a b", "b a", "a  b"]:
-        block.add(1, t)
+        block.add(t)
     assert list(block.number) == ["a", "b", " b"] and block.frequencies == [2, 2, 1, 1, 1, 1] and block.distinct == [2, 2, 2]
 
 
+def test_bounded_table(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 2)
+    counter = tokens.PieceCounter(PATH)
+    for texts in (["a b", "c d e", "one two"], ["two one b a " * 3, "f g"]):
+        for t in texts:
+            block = tokens.Block()
+            block.add(t)
+            assert block.tokens(counter.pieces(list(block.number))).tolist() == [len(MODEL.encode(t))]
+    assert len(counter.known) <= 3
+
+
 @pytest.mark.parametrize("block_chars", [1, 5000, tokens.BLOCK_CHARS])
 def test_whole_table(spark, sample, odd_docs, no_docs, block_chars):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
