@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.runtime import word_count
+from kinweave.llm.runtime import Stash, word_count
 
 WEIGHTS = (5, 2, 1)
 DRAWS = 16**13
@@ -55,7 +55,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     """Each row of docs as the struct `row`, with size, source_size, target and copies (times that it is taken)."""
     size = word_count(F.col(text)) if size is None else size
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), size.alias("size"), draw(F.col(id_column), F.col(text), seed).alias("draw"))
-    goal = targets(docs.select(F.col(source).alias("source"), size.alias("size")), weights, max_repeats).withColumnRenamed("source", "goal_source")
+    # staged, so that its size is known when the join is planned: small ones are broadcast and the rows stay where they are
+    goal = Stash(docs.sparkSession)(targets(docs.select(F.col(source).alias("source"), size.alias("size")), weights, max_repeats).withColumnRenamed("source", "goal_source"))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     copies = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
     joined = rows.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
