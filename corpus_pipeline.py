@@ -29,7 +29,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id."""
     found = neardup.near_duplicates(docs, width=5, similarity=Fraction(4, 5))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    # staged, so that its size is known when the join is planned: below the broadcast threshold the texts stay where they are
+    gone = Stash(spark)(found.where(~F.col("kept")).select("doc_id").distinct())
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
