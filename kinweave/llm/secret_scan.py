@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.runtime import importable
-from kinweave.llm.textarrays import FOLD, byte_rows, chunks
+from kinweave.llm.textarrays import CHUNK, FOLD, byte_rows, chunks
 
 ALL = ("all",)
 EXACT_LIMIT = 48
@@ -176,8 +176,8 @@ class TrigramIndex:
         """Row i: a bitmap of the documents that hold trigram i."""
         out = np.zeros((len(self.grams), len(offsets) - 1), bool)
         for first, last in chunks(offsets):
-            for lo in range(int(offsets[first]), int(offsets[last]), 1 << 22):
-                hi = min(lo + (1 << 22) + 2, int(offsets[last]))
+            for lo in range(int(offsets[first]), int(offsets[last]), CHUNK):
+                hi = min(lo + CHUNK + 2, int(offsets[last]))
                 b = FOLD[data[lo:hi]].astype(np.uint32)
                 if len(b) < 3:
                     continue

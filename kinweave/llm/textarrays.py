@@ -13,7 +13,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 LONG_WORD = 1 << 16
 U64 = np.uint64
 
