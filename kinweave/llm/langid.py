@@ -174,9 +174,9 @@ def learn(labelled: DataFrame, text: str, lang: str, key: Column, sample_chars:
     if not sizes:
         return {}
     sample_chars = max(1, min(sample_chars, total_chars // len(sizes)))
-    shares = [(name, int(-(2**63) + min(1.0, 3 * sample_chars / max(1, n)) * (2**64 - 1) * (1 - 1e-12))) for name, n in sorted(sizes.items())]
-    edges = labelled.sparkSession.createDataFrame(shares, "of string, edge long")
-    taken = rows.join(edges, F.col("lang") == F.col("of")).where("order <= edge").select("lang", F.substring("text", 1, sample_chars).alias("text"), "order").collect()
+    # a literal map, so that the rows stay where they are; it has an entry for each language
+    edges = [F.lit(x) for name, n in sorted(sizes.items()) for x in (name, int(-(2**63) + min(1.0, 3 * sample_chars / max(1, n)) * (2**64 - 1) * (1 - 1e-12)))]
+    taken = rows.where(F.col("order") <= F.try_element_at(F.create_map(*edges), F.col("lang"))).select("lang", F.substring("text", 1, sample_chars).alias("text"), "order").collect()
     out: dict[str, str] = {}
     seen = set()
     for r in sorted(taken, key=lambda r: (r.lang, r.order, r.text)):
