@@ -171,8 +171,7 @@ def token_block_topk(d: Data) -> DataFrame:
 
 @staged_query
 def tfidf_cosine_topk(d: Data) -> DataFrame:
-    names = [x.withColumn("country_norm", F.concat_ws("|", "country_norm", F.substring("name_norm", 1, 2))) for x in (d.s1, d.targets)]
-    return B.tfidf_candidates(*names, "name_norm", 3, FEW).select(*PAIR, _r("name_tfidf_score"), "name_tfidf_rank")
+    return B.tfidf_candidates(d.s1, d.targets, "name_norm", 3, FEW).select(*PAIR, _r("name_tfidf_score"), "name_tfidf_rank")
 
 
 def _two_blockers(d: Data) -> DataFrame:
