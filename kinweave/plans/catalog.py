@@ -166,7 +166,7 @@ def scored_candidates(d: Data) -> DataFrame:
 
 @staged_query
 def token_block_topk(d: Data) -> DataFrame:
-    return B.token_candidates(d.s1, d.targets, ["name_norm", "address_numbers"], 5, FEW.token_cap).select(*PAIR, _r("token_score"), "token_rank")
+    return B.token_candidates(d.s1, d.targets, ["name_norm", "address_norm", "address_numbers"], 5, FEW.block_token_cap).select(*PAIR, _r("token_score"), "token_rank")
 
 
 @staged_query
@@ -175,7 +175,7 @@ def tfidf_cosine_topk(d: Data) -> DataFrame:
 
 
 def _two_blockers(d: Data) -> DataFrame:
-    token = B.token_candidates(d.s1, d.targets, ["name_norm", "address_numbers"], 5, FEW.token_cap)
+    token = B.token_candidates(d.s1, d.targets, ["name_norm", "address_norm", "address_numbers"], 5, FEW.block_token_cap)
     first2 = B.top_k(d.scored().select(*PAIR, F.col("probability").alias("first2_score")), 5, "first2_score", "first2_rank").withColumn("blocker", F.lit("first2"))
     return B.combine([token.withColumn("token_score", micro(F.col("token_score"))), first2], FEW.max_candidates)
 

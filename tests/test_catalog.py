@@ -59,3 +59,13 @@ def test_tfidf_compares_all_targets_of_the_country(spark, docs, sides):
     wanted = best(pairs, 3)
     assert len(wanted) == len(got) and {x[0] for x in got} == {x[0] for x in wanted}
     assert {(s, i): score for s, _, score, i in got} == pytest.approx({(s, i): score for s, _, score, i in wanted}, abs=2e-6)
+
+
+def test_token_block_counts_common_tokens_and_addresses(spark, docs, sides):
+    left, right = ({r.entity_id: (r.country_norm, set(f"{r.name_norm} {r.address_norm} {r.address_numbers.replace('|', ' ')}".split())) for r in rows} for rows in sides)
+    assert sum("common" in tokens for c, tokens in right.values() if c == "en") > 250
+    pairs = []
+    for s, (c, a) in left.items():
+        most = sorted((-len(a & b), t) for t, (d, b) in right.items() if c == d and a & b)[:100]
+        pairs += [(s, t, -shared / len(a | right[t][1])) for shared, t in most]
+    assert {tuple(r) for r in catalog.QUERIES["token_block_topk"](spark, docs).collect()} == best(pairs, 5)
