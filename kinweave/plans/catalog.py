@@ -338,12 +338,12 @@ def rule_matcher(d: Data) -> DataFrame:
 
 @staged_query
 def evidence_weights(d: Data) -> DataFrame:
-    return rules.weighted_evidence(d.s1, d.targets, 50).groupBy("weight").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return rules.weighted_evidence(d.s1, d.targets).groupBy("weight").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 @staged_query
 def fuzzy_matcher(d: Data) -> DataFrame:
-    return rules.fuzzy_links(d.s1, d.targets, token_cap=50)
+    return rules.fuzzy_links(d.s1, d.targets)
 
 
 @query

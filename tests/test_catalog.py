@@ -69,3 +69,62 @@ def test_token_block_counts_common_tokens_and_addresses(spark, docs, sides):
         most = sorted((-len(a & b), t) for t, (d, b) in right.items() if c == d and a & b)[:100]
         pairs += [(s, t, -shared / len(a | right[t][1])) for shared, t in most]
     assert {tuple(r) for r in catalog.QUERIES["token_block_topk"](spark, docs).collect()} == best(pairs, 5)
+
+
+def clean(text):
+    return {w for w in text.split() if len(w) >= 3 and not w.isdigit()}
+
+
+def numbers(r):
+    return {x for x in r.address_numbers.split("|") if len(x) >= 3}
+
+
+def evidence(left, right):
+    """Weight of every pair that has one."""
+    of = Counter((r.country_norm, r.name_norm, r.address_norm) for r in left)
+    of_number = Counter((r.country_norm, r.name_norm, x) for r in left for x in numbers(r))
+    weights = {}
+    for a in left:
+        for b in right:
+            if a.country_norm != b.country_norm:
+                continue
+            weight = len(clean(a.name_norm) & clean(b.name_norm))
+            if a.name_norm == b.name_norm:
+                weight += 4 * sum(of_number[a.country_norm, a.name_norm, x] <= 4 for x in numbers(a) & numbers(b))
+                weight += 6 * (a.address_norm == b.address_norm and of[a.country_norm, a.name_norm, a.address_norm] == 1)
+            if weight:
+                weights[a, b] = weight
+    return weights
+
+
+def test_evidence_counts_tokens_of_more_than_50_records(spark, docs, sides):
+    assert sum("common" in clean(r.name_norm) for r in sides[0]) > 50
+    got = catalog.QUERIES["evidence_weights"](spark, docs).collect()
+    assert {r.weight: r.n_pairs for r in got} == Counter(evidence(*sides).values())
+
+
+def test_fuzzy_matcher_uses_tokens_of_more_than_50_records(spark, tmp_path):
+    rnd = random.Random(3)
+    words = ["amber", "brick", "cedar", "delta", "ember", "flint"]
+    rows = [(i, " ".join(rnd.sample(words, 5) + ["common"] + rnd.sample(words, 4)), "en", "web", 1000 + i) for i in range(210)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    records = catalog.Data(spark, str(tmp_path)).all.collect()
+    left, right = ([r for r in records if (r.target_source == "S1") == mine] for mine in (True, False))
+    assert all(sum(w in r.name_norm for r in left) > 50 for w in words)
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 0.0
+
+    by_target, links = {}, {}
+    for (a, b), weight in evidence(left, right).items():
+        by_target.setdefault(b, []).append((-weight, a.entity_id, a))
+    for b, found in by_target.items():
+        for weight, _, a in sorted(found, key=lambda x: x[:2])[:25]:
+            name = jaccard(clean(a.name_norm), clean(b.name_norm))
+            address = jaccard(*({w for w in r.address_norm.split() if len(w) >= 3} for r in (a, b)))
+            number = bool(numbers(a) & numbers(b))
+            score = 0.68 * name + 0.24 * address + (0.08 if number else 0.0)
+            if (score >= 0.82 and name >= 0.70) or (score >= 0.64 and name >= 0.55 and -weight >= 2 and (address >= 0.16 or number)):
+                links.setdefault(a.entity_id, []).append(b.entity_id)
+    wanted = {(s, t) for s, found in links.items() for t in sorted(found)[:8]}
+    assert wanted and {tuple(r) for r in catalog.QUERIES["fuzzy_matcher"](spark, str(tmp_path)).collect()} == wanted
