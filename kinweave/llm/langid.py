@@ -167,23 +167,38 @@ def _parser(samples: dict[str, str]) -> CrossParser:
 def learn(labelled: DataFrame, text: str, lang: str, key: Column, sample_chars: int = 40_000, total_chars: int = 4_000_000) -> dict[str, str]:
     """A sample of at most sample_chars characters of each language, and total_chars of all, from rows taken by a hash of key.
 
-    The expected size of what reaches the driver is three times that; every row counts towards its language's size.
+    A text counts from its first letter on, up to sample_chars. The expected size of what reaches the driver is three times
+    that of the sample; every row with letters counts towards its language's size. A language whose sample is short is asked
+    again at eight times the rate, distinct texts only, until the sample is full or all its rows are in.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("order")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & key.isNotNull())
-    sizes = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    piece = F.regexp_replace(text, r"^\P{L}+", "")
+    rows = labelled.select(F.col(lang).alias("lang"), piece.alias("text"), F.xxhash64(key).alias("order")).where(F.col("lang").isNotNull() & (F.col("text") != "") & key.isNotNull())
+    sizes = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(sample_chars))).alias("chars")).collect()}
     if not sizes:
         return {}
     sample_chars = max(1, min(sample_chars, total_chars // len(sizes)))
+    rows = rows.withColumn("text", F.substring("text", 1, sample_chars))
+    rates = {k: min(1.0, 3 * sample_chars / max(1, n)) for k, n in sizes.items()}
+    out = _sample(rows, rates, sample_chars)
+    while rates := {k: min(1.0, 8 * rate) for k, rate in rates.items() if rate < 1 and len(out.get(k, "")) < sample_chars}:
+        out |= _sample(rows, rates, sample_chars, distinct=True)
+    return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
+
+
+def _sample(rows: DataFrame, rates: dict[str, float], sample_chars: int, distinct: bool = False) -> dict[str, str]:
+    """The first sample_chars characters of each language's rows, by hash, among those that its rate takes."""
     # a literal map, so that the rows stay where they are; it has an entry for each language
-    edges = [F.lit(x) for name, n in sorted(sizes.items()) for x in (name, int(-(2**63) + min(1.0, 3 * sample_chars / max(1, n)) * (2**64 - 1) * (1 - 1e-12)))]
-    taken = rows.where(F.col("order") <= F.try_element_at(F.create_map(*edges), F.col("lang"))).select("lang", F.substring("text", 1, sample_chars).alias("text"), "order").collect()
+    edges = [F.lit(x) for name, rate in sorted(rates.items()) for x in (name, int(-(2**63) + rate * (2**64 - 1) * (1 - 1e-12)) if rate < 1 else 2**63 - 1)]
+    taken = rows.where(F.col("order") <= F.try_element_at(F.create_map(*edges), F.col("lang")))
+    if distinct:
+        taken = taken.groupBy("lang", "text").agg(F.min("order").alias("order"))
     out: dict[str, str] = {}
     seen = set()
-    for r in sorted(taken, key=lambda r: (r.lang, r.order, r.text)):
-        if r.text not in seen and len(out.get(r.lang, "")) < sample_chars:
-            seen.add(r.text)
+    for r in sorted(taken.select("lang", "text", "order").collect(), key=lambda r: (r.lang, r.order, r.text)):
+        if (r.lang, r.text) not in seen and len(out.get(r.lang, "")) < sample_chars:
+            seen.add((r.lang, r.text))
             out[r.lang] = f"{out.get(r.lang, '')}\n{r.text}"[: sample_chars + 1]
-    return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
+    return out
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,6 +65,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert langid.learn(no_docs, "text", "lang", F.col("doc_id")) == {} and langid.identify(no_docs, {}).count() == 0
 
 
+def test_a_skewed_language_is_learned(spark):
+    long = "lungo " * 100_000
+    rows = [(i, f"breve testo numero {i} " * 4, "it") for i in range(20)] + [(99, long, "it")]
+    rows += [(200 + i, f"{i} " + f"langer text {i} " * 5000, "de") for i in range(12)]
+    rows += [(300 + i, "1234 " * 5000, "sv") for i in range(50)] + [(400, "svenska ord", "sv")]
+    rows += [(500 + i, "same words " * 20, "en") for i in range(200)] + [(900 + i, f"other words {chr(97 + i)}", "en") for i in range(3)]
+    rows += [(1000, "123", "xx")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.learn(frame, "text", "lang", F.col("doc_id"), 1000)
+    assert set(samples) == {"it", "de", "sv", "en"}
+    assert all(1000 <= len(samples[x]) <= 1001 for x in ("it", "de"))
+    assert "svenska ord" in samples["sv"] and all(f"other words {c}" in samples["en"] for c in "abc")
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
