@@ -145,12 +145,22 @@ class Rule:
         return [m.span() for m in self.regex.finditer(text) if len(m[self.group]) >= self.least]
 
 
+_GAP = r"(?:\s|\\[nrt])"
+#: The BEGIN line, the two header lines of encrypted keys, then the base64 body to the END line. Without an END line the body is
+#: its runs of 16 characters or more and a last shorter one that is padded or fills a line. Line breaks may be escaped.
+PEM = (
+    r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?)PRIVATE KEY-----"
+    rf"(?:{_GAP}*(?:Proc-Type|DEK-Info):[^\r\n\\]*)*"
+    r"(?:(?:[A-Za-z0-9+/=\s]++|\\[nrt])*+-----END \1PRIVATE KEY-----"
+    rf"|(?:{_GAP}*[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{_GAP}+[A-Za-z0-9+/]+(?:={{1,2}}|(?=\s*[\r\n]|\\[nr]|\s*\Z)))?)?"
+)
+
 #: The base kinds, then what the method adds.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
