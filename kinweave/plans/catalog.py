@@ -19,7 +19,7 @@ from kinweave.sources.staging import Stash, importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAIR = B.PAIR
-FEW = BlockingConfig(top_k=5, max_candidates=8)
+CONFIG = BlockingConfig()
 THRESHOLDS, CAPS = (0.2, 0.35, 0.5, 0.65, 0.8, 0.95), (1, 3, None)
 
 
@@ -50,7 +50,7 @@ class Data:
 
     def capped(self) -> tuple[DataFrame, DataFrame]:
         frequency = keys.token_frequency(self.targets)
-        return keys.capped_keys(self.s1, frequency, FEW.token_cap), keys.capped_keys(self.targets, frequency, FEW.token_cap)
+        return keys.capped_keys(self.s1, frequency, CONFIG.token_cap), keys.capped_keys(self.targets, frequency, CONFIG.token_cap)
 
     def close(self) -> DataFrame:
         """Pairs that share the first two name tokens."""
@@ -131,7 +131,7 @@ def token_frequency(d: Data) -> DataFrame:
 
 @query
 def bucket_sizes(d: Data) -> DataFrame:
-    sizes = B.bucket_sizes(keys.explode_keys(d.targets), FEW.bucket_cap)
+    sizes = B.bucket_sizes(keys.explode_keys(d.targets), CONFIG.bucket_cap)
     return sizes.groupBy("country_norm", "key_type", "bucket_size", "bucket_records").agg(F.count(F.lit(1)).alias("n_buckets"))
 
 
@@ -149,45 +149,39 @@ def key_join_candidates(d: Data) -> DataFrame:
 @staged_query
 def budgeted_candidates(d: Data) -> DataFrame:
     left, right = d.capped()
-    pairs = B.budgeted_pairs(left, right, FEW.bucket_cap, FEW.budget)
+    pairs = B.budgeted_pairs(left, right, CONFIG.bucket_cap, CONFIG.budget)
     number = F.split(PAIR[1], "-")[1].cast("decimal(38,0)")
     return pairs.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_candidates"), F.sum(number).cast("string").alias("id_sum"))
 
 
 @staged_query
 def topk_candidates(d: Data) -> DataFrame:
-    return B.keyed_candidates(d.s1, d.targets, FEW, S.weighted_jaccard, token_set).select(*PAIR, _r("keyed_score"), "keyed_rank")
+    return B.keyed_candidates(d.s1, d.targets, score=S.weighted_jaccard, prepare=token_set).select(*PAIR, _r("keyed_score"), "keyed_rank")
 
 
 @staged_query
 def scored_candidates(d: Data) -> DataFrame:
-    return B.keyed_candidates(d.s1, d.targets, FEW).select(*PAIR, _r("keyed_score"), "keyed_rank")
+    return B.keyed_candidates(d.s1, d.targets).select(*PAIR, _r("keyed_score"), "keyed_rank")
 
 
 @staged_query
 def token_block_topk(d: Data) -> DataFrame:
-    return B.token_candidates(d.s1, d.targets, ["name_norm", "address_norm", "address_numbers"], 5, FEW.block_token_cap).select(*PAIR, _r("token_score"), "token_rank")
+    return B.token_candidates(d.s1, d.targets, ["name_norm", "address_norm", "address_numbers"], 5, CONFIG.block_token_cap).select(*PAIR, _r("token_score"), "token_rank")
 
 
 @staged_query
 def tfidf_cosine_topk(d: Data) -> DataFrame:
-    return B.tfidf_candidates(d.s1, d.targets, "name_norm", 3, FEW).select(*PAIR, _r("name_tfidf_score"), "name_tfidf_rank")
-
-
-def _two_blockers(d: Data) -> DataFrame:
-    token = B.token_candidates(d.s1, d.targets, ["name_norm", "address_norm", "address_numbers"], 5, FEW.block_token_cap)
-    first2 = B.top_k(d.scored().select(*PAIR, F.col("probability").alias("first2_score")), 5, "first2_score", "first2_rank").withColumn("blocker", F.lit("first2"))
-    return B.combine([token.withColumn("token_score", micro(F.col("token_score"))), first2], FEW.max_candidates)
+    return B.tfidf_candidates(d.s1, d.targets, "name_norm", 3, CONFIG).select(*PAIR, _r("name_tfidf_score"), "name_tfidf_rank")
 
 
 @staged_query
 def combine_blockers(d: Data) -> DataFrame:
-    return _two_blockers(d)
+    return B.union_candidates(d.s1, d.targets)
 
 
 @staged_query
 def candidate_lists(d: Data) -> DataFrame:
-    return B.candidate_lists(_two_blockers(d)).select(PAIR[0], F.array_join("candidate_ids", ",").alias("candidate_ids"))
+    return B.candidate_lists(B.union_candidates(d.s1, d.targets)).select(PAIR[0], F.array_join("candidate_ids", ",").alias("candidate_ids"))
 
 
 @query
@@ -300,7 +294,7 @@ def sequence_ratio(d: Data) -> DataFrame:
 
 @staged_query
 def pair_features(d: Data) -> DataFrame:
-    return features.pair_features(_two_blockers(d), d.s1, d.targets, d.truth)
+    return features.pair_features(B.union_candidates(d.s1, d.targets), d.s1, d.targets, d.truth)
 
 
 @staged_query
@@ -419,7 +413,7 @@ def country_spellings(d: Data) -> DataFrame:
 @staged_query
 def missed_pair_diagnosis(d: Data) -> DataFrame:
     missed = quality.outside_candidates(d.truth, d.rule_pairs())
-    return B.missed_pairs_shared_keys(missed, d.s1, d.targets, keys.token_frequency(d.targets), FEW.token_cap)
+    return B.missed_pairs_shared_keys(missed, d.s1, d.targets, keys.token_frequency(d.targets), CONFIG.token_cap)
 
 
 @query

@@ -128,3 +128,16 @@ def test_fuzzy_matcher_uses_tokens_of_more_than_50_records(spark, tmp_path):
                 links.setdefault(a.entity_id, []).append(b.entity_id)
     wanted = {(s, t) for s, found in links.items() for t in sorted(found)[:8]}
     assert wanted and {tuple(r) for r in catalog.QUERIES["fuzzy_matcher"](spark, str(tmp_path)).collect()} == wanted
+
+
+@pytest.mark.parametrize("name", ["scored_candidates", "topk_candidates"])
+def test_keyed_queries_keep_60_candidates(spark, docs, name):
+    rows = catalog.QUERIES[name](spark, docs).collect()
+    assert max(r.keyed_rank for r in rows) == max(Counter(r.source1_entity_id for r in rows).values()) == 60
+
+
+def test_combine_blockers_unites_the_four_blockers(spark, docs):
+    rows = catalog.QUERIES["combine_blockers"](spark, docs).collect()
+    assert {b for r in rows for b in r.blocker.split("|")} == {"name_tfidf", "address_tfidf", "combined_tfidf", "token"}
+    assert max(Counter(r.source1_entity_id for r in rows).values()) == 80
+    assert max(r.name_tfidf_rank for r in rows) > 5 and all(0 <= r.name_tfidf_score <= 1 for r in rows)
