@@ -26,7 +26,7 @@ def held_out() -> F.Column:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    samples = langid.learn(docs.where(~held_out()), "text", "lang", F.col("doc_id"))
+    samples = langid.learn(docs.where(~held_out()), "text", "lang")
     found = langid.identify(docs, samples)
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
