@@ -78,7 +78,7 @@ def test_a_skewed_language_is_learned(spark):
     assert "svenska ord" in samples["sv"] and all(f"other words {c}" in samples["en"] for c in "abc")
 
 
-def language(rnd, letters, n=150):
+def language(rnd, letters, n=500):
     """A maker of texts over the letters."""
     words = ["".join(rnd.choices(letters, k=rnd.randrange(2, 7))) for _ in range(n)]
     return lambda k: " ".join(rnd.choices(words, k=k))
