@@ -1,10 +1,11 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import topk
+from kinweave.llm import queries, topk
 
 
 def brute(rows, k, asks):
@@ -12,7 +13,7 @@ def brute(rows, k, asks):
     out = []
     for q, a in good:
         if asks(q):
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c) for c, b in good if c != q)
+            scores = sorted((-min(2**63 - 1, max(-(2**63), sum(x * y for x, y in zip(a, b, strict=False)))), c) for c, b in good if c != q)
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -24,11 +25,10 @@ def run(spark, rows, k=5, modulo=5):
     return sorted(tuple(r) for r in got.collect())
 
 
-@pytest.mark.parametrize("small, large, strip", [(512, 8192, 512), (8, 16, 4)])
-def test_equals_brute_force(spark, monkeypatch, small, large, strip):
-    monkeypatch.setattr(topk, "SMALL", small)
-    monkeypatch.setattr(topk, "LARGE", large)
-    monkeypatch.setattr(topk, "STRIP", strip)
+@pytest.mark.parametrize("limits", [{}, {"SMALL": 8, "LARGE": 16}, {"SMALL": 4, "LARGE": 8, "RANGES": 3, "QUERY_ROWS": 7, "WAVE": 1600}])
+def test_equals_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(topk, name, value)
     rnd = np.random.default_rng(3)
     base = rnd.normal(size=(150, 20)) * rnd.uniform(0.2, 3, size=(150, 1)) / 4
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(base)]
@@ -50,3 +50,64 @@ def test_large_components_stay_exact(spark):
 def test_repeated_rows_are_candidates_each(spark):
     rows = [(5, [1.0]), (7, [1.0]), (7, [1.0]), (8, [0.5])]
     assert run(spark, rows, 3) == [(5, 1, 7, 65536), (5, 2, 7, 65536), (5, 3, 8, 32768)]
+
+
+def test_a_query_in_several_rows_is_answered_for_each(spark, tmp_path):
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (0, [-1.0, 0.25])] + [(i, [i / 8, 1 / i]) for i in range(1, 9)]
+    got = run(spark, rows)
+    assert got == brute(rows, 5, lambda q: q % 5 == 0)
+    assert sorted(r[1] for r in got if r[0] == 0) == sorted([1, 2, 3, 4, 5] * 3)
+    for r in (1, 2, 3, 4, 5):
+        assert len([x for x in got if x[:2] == (0, r)]) == 3
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").createOrReplaceTempView("few")
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    sql = queries.TOP_K_SQL
+    spark.table("few").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ours = sorted(tuple(r) for r in queries.op3_exact_top_k(spark, str(tmp_path)).collect())
+    assert ours == sorted(con.execute(sql).fetchall()) and len(ours) == 15
+
+
+def test_a_hot_query_id_is_dealt_by_row(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 16)
+    rnd = np.random.default_rng(5)
+    rows = [(50 if i % 3 == 0 else 2 * i + 1, [float(np.float32(x)) for x in rnd.normal(size=4)]) for i in range(300)]
+    assert run(spark, rows, 3, 50) == brute(rows, 3, lambda q: q % 50 == 0)
+
+
+def test_bounds_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SMALL", 4)
+    monkeypatch.setattr(topk, "LARGE", 4)
+    monkeypatch.setattr(topk, "RANGES", 6)
+    frame = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("vector"), F.col("id").cast("double").alias("length"))
+    blocked = topk._blocks(frame, 4000)
+    sizes = blocked.groupBy("block").agg(F.count("*").alias("n"), F.countDistinct("range").alias("r")).collect()
+    assert blocked.select("range").distinct().count() == 6 and max(r.r for r in sizes) == 1
+    assert len(sizes) > 700 and max(r.n for r in sizes) < 25
+    assert blocked.groupBy("block").agg(F.max("length").alias("m")).orderBy(F.desc("m")).first().block < 200
+
+
+def test_products_are_exact():
+    rnd = np.random.default_rng(1)
+    for top in (10.0, 1e6, 1e9, 1e15, 1e30):
+        a, b = (np.floor(rnd.uniform(-top, top, (5, 9))) for _ in range(2))
+        want = [[min(2**63 - 1, max(-(2**63), sum(int(x) * int(y) for x, y in zip(p, q, strict=True)))) for q in b] for p in a]
+        assert [[int(x) for x in r] for r in topk.products(a, b)] == want
+
+
+def test_strips_and_bounds_lose_nothing(monkeypatch):
+    monkeypatch.setattr(topk, "STRIP", 4)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    monkeypatch.setattr(topk, "LEADING", 3)
+    rnd = np.random.default_rng(2)
+    data = np.floor(rnd.normal(size=(200, 8)) * 100 * rnd.uniform(0.1, 2, (200, 1)))
+    data = data[np.argsort(-(data**2).sum(axis=1))]
+    ids = rnd.permutation(200).astype(np.int64)
+    turn = np.linalg.eigh(data.T @ data)[1][:, ::-1]
+    wave = topk.Wave(ids[:30], data[:30], np.full(30, -np.inf), turn, 4)
+    for at in range(0, 200, 50):
+        wave.meet(ids[at : at + 50], data[at : at + 50], float(np.sqrt((data[at : at + 50] ** 2).sum(axis=1).max())))
+    for i, (found, scores) in enumerate(wave.best):
+        want = sorted((-float(s), int(c)) for s, c in zip(data @ data[i], ids, strict=True) if c != ids[i])[:4]
+        assert [(-float(s), int(c)) for s, c in zip(scores, found, strict=True)] == want
