@@ -63,8 +63,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = mixing.Mix(table(spark, sf_dir, "documents")).shares()
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,21 +84,25 @@ def queries() -> dict[str, Query]:
 
 TOP_K_SQL = f"""
 WITH good AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT vec_id, row_number() OVER () AS number, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.number, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM good q JOIN good c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP_K}
 """
 
 MIXING_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+WITH keyed AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(concat_ws(':', coalesce(md5(CAST(doc_id AS VARCHAR)), ''), coalesce(md5(lang), ''), coalesce(md5(CAST(n_chars AS VARCHAR)), ''), coalesce(md5(source), ''), coalesce(md5(text), ''))) AS key
+  FROM documents
+), sized AS (
+  SELECT *, row_number() OVER (PARTITION BY key) - 1 AS number FROM keyed
 ), sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source
 ), weighted AS (
@@ -116,7 +120,7 @@ WITH sized AS (
 ), rated AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
     CASE WHEN g.source_size > 0 THEN g.target / CAST(g.source_size AS DOUBLE) ELSE 0 END AS rate,
-    CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), md5(coalesce(d.text, '')))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+    CAST(CAST('0x' || substr(md5('17:' || d.key || ':' || d.number), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
   FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,
