@@ -6,10 +6,12 @@ its shortest prefix whose sum fits, which is where repeated splitting would end.
 even there go through further rounds of more bits, alone.
 
 Rows that agree in id, size and text share a hash, so they are counted first and each gets its number within
-that count into its hash: however many copies of one row there are, they can be split. A single row above the
-limit can't be split and stays alone in its shard, marked oversize.
+that count into its hash: however many copies of one row there are, they can be split, and their numbers are made in
+many tasks. A single row above the limit can't be split and stays alone in its shard, marked oversize.
 
-Defined results: null text has 0 bytes; null ids are hashed as such; an empty table gives no rows.
+Defined results: null text has 0 bytes; null ids are hashed as such; a very long text is one row; repeated rows are
+numbered in `copy`; extra columns are ignored by assign() and written by write_shards(), which names its folders
+shard=, or shard_= and so on where the rows have a column of that name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.runtime import Stash
+from kinweave.llm.runtime import Stash, numbered
 
 BITS = 62
 
@@ -30,11 +32,10 @@ def prefix(column: Column, depth: Column | int) -> Column:
     return F.call_function("shiftright", column, (F.lit(BITS) - depth).cast("int")).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int")))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, equal ones numbered from 0 in `copy`; they are counted, not ranked, so no task sees them together."""
+def copies(docs: DataFrame) -> DataFrame:
+    """The rows as `row`, equal ones numbered from 0 in `copy`; they are counted, not ranked, so no task sees them together."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    counted = named.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    return numbered(named.groupBy("row").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _hash(*parts: Column) -> Column:
@@ -45,7 +46,7 @@ def items(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     """doc_id, n_bytes, copy and hash of every input row, without the text."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.xxhash64(body).alias("body"))
-    return numbered(rows).select("row.doc_id", "row.n_bytes", "copy", _hash(F.col("row.doc_id"), F.col("row.body"), F.col("copy")).alias("hash"))
+    return copies(rows).select("row.doc_id", "row.n_bytes", "copy", _hash(F.col("row.doc_id"), F.col("row.body"), F.col("copy")).alias("hash"))
 
 
 def directory(rows: DataFrame, limit: int, stash: Stash) -> DataFrame:
@@ -95,14 +96,18 @@ def assign(docs: DataFrame, limit: int, id_column: str = "doc_id", text: str = "
 
 
 def write_shards(docs: DataFrame, limit: int, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the rows as Parquet, one folder shard=... for each shard, and returns the directory.
+    """Writes the rows as Parquet, one folder for each shard, and returns the directory.
 
     Rows that differ only outside id and text are numbered apart here, so a shard is measured on the rows written.
     """
+    folder = "shard"
+    while folder.lower() in {c.lower() for c in docs.columns}:
+        folder += "_"
     stash = Stash(docs.sparkSession)
     body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    rows = stash(numbered(docs).select("row", F.octet_length(body).cast("long").alias("n_bytes"), _hash(F.col(f"row.{id_column}"), F.xxhash64("row"), F.col("copy")).alias("hash")))
+    rows = stash(copies(docs).select("row", F.octet_length(body).cast("long").alias("n_bytes"), _hash(F.col(f"row.{id_column}"), F.xxhash64("row"), F.col("copy")).alias("hash")))
     shards = stash(directory(rows.select("hash", "n_bytes"), limit, stash))
-    located(rows, shards).select("row.*", "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    found = located(rows, shards).select("row", F.col("shard").alias("_shard")).repartition("_shard")
+    found.select("row.*", F.col("_shard").alias(folder)).write.mode("overwrite").partitionBy(folder).parquet(path)
     stash.drop(rows)
     return shards

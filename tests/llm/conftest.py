@@ -16,7 +16,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, with a case of their own.
-CLASHES = {"size": "7", "draw": "x", "row": "y", "hash": "z", "bands": "q", "rank": "r", "cluster": "s", "bucket": "t", "order": "u", "vector": "v", "grade": "w", "n": "1", "component": "k", "copies": "m", "target": "p"}
+CLASHES = {"size": "7", "draw": "x", "row": "y", "hash": "z", "bands": "q", "rank": "r", "cluster": "s", "bucket": "t", "order": "u", "vector": "v", "grade": "w", "n": "1", "component": "k", "copies": "m", "target": "p", "shard": "g", "copy": "h", "bin_id": "i", "piece": "j", "key": "l", "number": "o", "bytes": "5", "depth": "6", "order_": "8", "lang_pred": "9"}
 
 
 @pytest.fixture(scope="session")

@@ -73,5 +73,21 @@ def test_written_shards_hold_every_row_and_fit(spark, odd_docs, tmp_path):
     assert size == {r.shard: (r.shard_bytes, r.shard_rows) for r in shards}
     assert all(b <= 40_000 or n == 1 for b, n in size.values())
     assert back.drop("shard").exceptAll(docs).count() == docs.exceptAll(back.drop("shard")).count() == 0
-    sh.write_shards(odd_docs, 200, str(tmp_path / "odd"))
-    assert spark.read.parquet(str(tmp_path / "odd")).count() == odd_docs.count()
+    odd = sh.write_shards(odd_docs, 200, str(tmp_path / "odd")).collect()
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert set(back.columns) == {*odd_docs.columns, "shard_"} and back.drop("shard_").select(odd_docs.columns).exceptAll(odd_docs).count() == 0 == odd_docs.exceptAll(back.select(odd_docs.columns)).count()
+    assert {r.shard_ for r in back.select("shard_").distinct().collect()} == {r.shard for r in odd}
+
+
+def test_a_million_equal_rows(spark):
+    rows = spark.range(1_000_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    got = sh.assign(rows, 9_000)
+    assert got.select("copy").distinct().count() == 1_000_000 and got.agg(F.min("copy"), F.max("copy")).first() == (0, 999_999)
+    sums = got.groupBy("shard", "shard_bytes").agg(F.sum("n_bytes").alias("b")).collect()
+    assert max(r.b for r in sums) <= 9_000 and all(r.b == r.shard_bytes for r in sums)
+
+
+def test_very_long_texts(spark):
+    rows = spark.createDataFrame([(i, "long word " * (200_000 if i < 3 else 2)) for i in range(30)], "doc_id long, text string")
+    got = sh.assign(rows, 100_000).collect()
+    assert len(got) == 30 and sorted(r.doc_id for r in got if r.oversize) == [0, 1, 2] and max(r.n_bytes for r in got) == 2_000_000
