@@ -10,11 +10,13 @@ pieces fill bins of their own and the rest is packed.
 
 Documents are dealt into groups by a hash of id, text and copy number, about group_rows in each, so a hot
 source or cluster is spread; bins don't cross groups and a group's memory is bounded. Equal rows are counted and
-numbered before they are dealt.
+the counts numbered, in many tasks, before they are dealt.
 
 Defined results: null text and a text without words have size 0 and one empty piece, which is packed like any
-other; a null source conflicts with nothing; the cluster is that of the text in lower case (A-Z) with white
-space removed; null texts and empty texts have no cluster; an empty table gives no rows.
+other; a null source conflicts with nothing; the cluster is that of the text in lower case with white space
+removed (exact copies but for case and spacing); null texts and empty texts have no cluster; null ids are packed like
+others; a very long text is cut into pieces of the capacity; repeated rows are numbered in `copy`; extra columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.runtime import Stash, importable, partitions, word_count
+from kinweave.llm.runtime import Stash, importable, lookup, numbered, partitions, word_count
 
 
 class BestFit:
@@ -94,17 +96,16 @@ def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 2048, per_sour
     stash = Stash(spark)
     body = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", ""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.when(F.length(body) > 0, F.xxhash64(body)).alias("cluster"))
-    counted = rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    numbered = stash(counted.select("doc_id", "source", "size", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")))
+    single = stash(numbered(rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))))
     n_pieces = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / capacity))
-    n, words, pieces_in_all = numbered.agg(F.count(F.lit(1)), F.sum("size"), F.sum(n_pieces)).first()
+    n, words, pieces_in_all = single.agg(F.count(F.lit(1)), F.sum("size"), F.sum(n_pieces)).first()
     groups = max(1, round(n / group_rows))
     # words of a source / words of all, times pieces in a full bin of average pieces
     in_bin = capacity * (pieces_in_all or 0) / max(1, words or 0) ** 2
     fair = F.lit(per_source) if per_source else F.greatest(F.lit(1), F.ceil(F.sum("size") * F.lit(float(in_bin))).cast("int"))
-    shares = numbered.groupBy(F.col("source").alias("of")).agg(fair.alias("most"))
+    shares = stash(single.groupBy("source").agg(fair.alias("most"), F.count(F.lit(1)).alias("n")))
     order = F.xxhash64("doc_id", "source", "size", "cluster", "copy")
-    dealt = numbered.join(shares, F.col("source").eqNullSafe(F.col("of"))).select(F.pmod(order, F.lit(groups)).cast("int").alias("group"), order.alias("order"), "doc_id", "copy", "source", "cluster", "most", "size")
+    dealt = lookup(single, shares, ["source"], "n", "inner").select(F.pmod(order, F.lit(groups)).cast("int").alias("group"), order.alias("order"), "doc_id", "copy", "source", "cluster", "most", "size")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1))
     pieces = dealt.withColumn("piece", piece).withColumn("start", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start")))
     spread = min(groups, partitions(spark))

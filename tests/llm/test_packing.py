@@ -3,8 +3,9 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from kinweave.llm import packing
+from kinweave.llm import packing, queries
 
 
 def plain(pieces, capacity):
@@ -90,3 +91,24 @@ def test_a_hot_source_gets_its_share_of_a_bin(spark):
     most = max(sum(source[r.doc_id] == "hot" for r in own) for own in used.values())
     assert most == 2 and max(sum(source[r.doc_id] == "s1" for r in own) for own in used.values()) == 1
     assert sum(r.n_words for r in got) / len(used) / 50 > 0.9
+
+
+def test_a_million_equal_rows(spark):
+    rows = spark.range(1_000_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.lit("s").alias("source"))
+    got = packing.pack(rows, 30, 2048, 10)
+    assert got.agg(F.countDistinct("copy"), F.min("copy"), F.max("copy"), F.sum("n_words")).first() == (1_000_000, 0, 999_999, 3_000_000)
+    # equal rows are of one cluster, so each is alone in its bin
+    assert got.select("bin_id").distinct().count() == 1_000_000
+
+
+def test_a_very_long_text_is_cut(spark):
+    rows = spark.createDataFrame([(1, "w " * 300_001, "s"), (2, "few words", "t")], "doc_id long, text string, source string")
+    got, _ = checked(rows, 2048)
+    own = [r for r in got if r.doc_id == 1]
+    assert len(own) == 147 and sum(r.n_words for r in own) == 300_001
+
+
+def test_bins_are_full(spark):
+    got = queries.op10_packing(spark, "/root/testdata/sf0.1")
+    words, bins = got.agg(F.sum("n_words"), F.countDistinct("bin_id")).first()
+    assert words / bins / queries.PACK_WORDS > 0.93
