@@ -12,27 +12,31 @@ of paragraphs, and inserting or deleting one adds or subtracts its vector. The v
   texts with nothing in common, so 1 - ratio, held within 0 and 1, is their likeness.
 
 Defined results: null is the empty text (one empty paragraph); two texts of equal fingerprint have likeness 1;
-with rows of one id, the next document is the next row by (id, hash of text, text); null ids come first; the only
-row of a table is its own next document; an empty table gives no rows.
+with rows of one id, the next document is the next row by (id, two hashes of the text), so equal rows follow each
+other; null ids come first; the only row of a table is its own next document; texts of any length are read whole;
+extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
+import math
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.runtime import importable, partitions, range_index
+from kinweave.llm.runtime import Stash, importable, lookup, numbered
 from kinweave.llm.textarrays import CHUNK, U64, byte_rows, chunks, mix, seeded, word_hashes
 
 EQUAL, LIKE = 8, 128
+#: Text in a range of ids; at most so many ranges (about what one shuffle can have), and rows sampled for their bounds.
+RANGE_BYTES, RANGES, SAMPLE = 1 << 25, 100_000, 400_000
 Sums = tuple[np.ndarray, np.ndarray]
 
 
@@ -150,52 +154,142 @@ def _edit_rows(texts: list[str], others: list[str]) -> tuple[Sums, Sums, list[st
     return whole, plus(minus(whole, old), new), shas
 
 
-def _bucket(doc_id: Column, text_hash: Column, shares: Counter) -> Column:
-    """The range of an id. An id that several bounds fall on is split by ranges of its texts' hashes, in the rows' order."""
-    base = range_index(doc_id, sorted(shares))
-    hot = {c: n for c, n in shares.items() if n > 1}
-    part = F.lit(0)
-    for at, c in enumerate(sorted(shares), 1):
-        if c in hot:
-            own = F.floor((text_hash.cast("double") / 2.0**64 + 0.5) * hot[c]).cast("int")
-            part = F.when(base == at, F.when(doc_id == c, F.least(own, F.lit(hot[c] - 1))).otherwise(F.lit(hot[c]))).otherwise(part)
-    return (base * (max(hot.values(), default=0) + 1) + part).cast("long")
+KEY = ["doc_id", "h1", "h2"]
+OUT = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("n_chars", T.LongType()),
+        T.StructField("edited_sha256", T.StringType()),
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("edited_fingerprint", T.StringType()),
+        T.StructField("near_edited", T.DoubleType()),
+        T.StructField("near_next", T.DoubleType()),
+    ]
+)
+
+
+def sort_keys(known: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Byte strings in the order of (known, id, hash)."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = known
+    for at, x in ((1, ids), (9, hashes)):
+        out[:, at : at + 8] = (x.astype(np.int64).view(np.uint64) ^ U64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def _bounds(keys: DataFrame, buckets: int | None) -> np.ndarray:
+    """First keys of the ranges, which hold about the same number of bytes; an id of many rows is split by its texts' hashes."""
+    size, n = keys.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    wanted = buckets or min(RANGES, max(math.ceil(size / RANGE_BYTES), min(4 * cores, math.ceil(size / (1 << 20))), 1))
+    share = min(1.0, min(SAMPLE, 64 * wanted) / n)
+    taken = keys.where(F.col("h2") <= F.lit(int(-(2**63) + share * (2**64 - 1) * (1 - 1e-12)))) if share < 1 else keys
+    got = taken.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "n_bytes").toArrow()
+    found = sort_keys(*(got[c].to_numpy() for c in ("known", "id", "h1")))
+    order = np.argsort(found, kind="stable")
+    weight = np.cumsum(got["n_bytes"].to_numpy()[order] + 64)
+    if not len(weight) or wanted < 2:
+        return found[:0]
+    return np.unique(found[order][np.searchsorted(weight, weight[-1] * np.arange(1, wanted) / wanted)])
+
+
+def _in_range(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf(T.IntegerType())
+    def at(known: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, sort_keys(known.to_numpy(), ids.to_numpy(), hashes.to_numpy()), "right").astype(np.int32))
+
+    return rows.withColumn("to", at(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("h1")))
 
 
 def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
-    Rows are dealt by ranges of the id, whose bounds are quantiles; the first id of each range goes also to the
-    range before it, so every row meets the next one. The text is moved once.
+    Rows are dealt by ranges of (id, hash of text) of about RANGE_BYTES of text each, whose bounds come from a sample of
+    narrow keys. The last row of a range needs its next document from the range after it: of that only as many
+    characters as it takes over and the fingerprint are sent. Equal rows are counted: one of them goes into the ranges,
+    the others have an equal row as their next document and are made where the count is. The text is moved once.
     """
     spark = docs.sparkSession
     importable(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    wanted = buckets or min(512, 4 * partitions(spark))
-    cuts = rows.where("doc_id is not null").approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
-    shares = Counter(int(c) for c in cuts)
-    dealt = rows.withColumn("bucket", _bucket(F.col("doc_id"), F.xxhash64("text"), shares))
-    order = [F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")]
-    heads = [(r.bucket, r.first.id, r.first.hash) for r in dealt.groupBy("bucket").agg(F.min(F.struct(*order)).alias("first")).orderBy("bucket").collect()]
-    # the first row of each range goes also to the range before it; the last range is followed by the first
-    hosts = [(heads[i - 1][0], i_d, h) for i, (_, i_d, h) in enumerate(heads)]
-    guests = dealt.where(F.col("doc_id").isin([i for _, i, _ in hosts if i is not None]) | F.col("doc_id").isNull())
-    guests = guests.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(spark.createDataFrame(hosts, "to long, id long, first long"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("first")))
-    guests = guests.groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("to", F.lit(True).alias("guest"), "row.doc_id", "row.text")
-    spread = dealt.select(F.col("bucket").alias("to"), F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests)
-    ordered = spread.repartition(F.col("to")).sortWithinPartitions("to", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    out = T.StructType(
+    stash = Stash(spark)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1)).alias("h2"))
+    narrow = rows.select(*KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_chars"))
+    keys = stash(narrow.groupBy(*KEY, "n_bytes", "n_chars").agg(F.count(F.lit(1)).alias("n")))
+    if not keys.limit(1).count():
+        return spark.createDataFrame([], OUT)
+    again = keys.where("n > 1").select(*KEY, F.col("n").alias("n_equal"))
+    copies = None
+    if again.limit(1).count():
+        known = lookup(rows, stash(again), KEY, "n_equal")
+        firsts = stash(known.where("n_equal is not null").groupBy(*KEY).agg(F.first("text").alias("text"), F.first("n_equal").alias("n_equal")))
+        rows = known.where("n_equal is null").drop("n_equal").unionByName(firsts.drop("n_equal"))
+        alone = firsts.select(F.lit(0).alias("to"), F.lit(False).alias("guest"), "doc_id", "text", F.lit(None).cast("string").alias("sums"), (F.col("n_equal") - 1).alias("times"))
+        times = T.StructType([*OUT.fields, T.StructField("times", T.LongType())])
+        copies = numbered(stash(alone.mapInArrow(_with_themselves, times)), "times").drop("copy")
+
+    bounds = _bounds(keys, buckets)
+    order = [F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), "h1", "h2"]
+    ends = _in_range(keys, bounds).groupBy("to").agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order, "n_chars")).alias("last")).orderBy("to").collect()
+    # the first row of each range is a guest of the range before it; the last range is followed by the first
+    hosts = [(r.to, after.first.id, after.first.h1, after.first.h2, r.last.n_chars // 4) for r, after in zip(ends, ends[1:] + ends[:1], strict=True)]
+    wanted = F.broadcast(spark.createDataFrame(hosts, "to int, id long, g1 long, g2 long, k long"))
+    guests = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    guests = guests.select("to", *KEY, "k", "text").mapInArrow(_guests, "to int, doc_id long, h1 long, h2 long, text string, sums string")
+    dealt = _in_range(rows, bounds).select("to", F.lit(False).alias("guest"), *KEY, "text", F.lit(None).cast("string").alias("sums"))
+    dealt = dealt.unionByName(guests.select("to", F.lit(True).alias("guest"), *KEY, "text", "sums"))
+    ordered = dealt.repartitionById(len(bounds) + 1, "to").sortWithinPartitions("to", "guest", F.col("doc_id").asc_nulls_first(), "h1", "h2")
+    out = ordered.select("to", "guest", "doc_id", "text", "sums").mapInArrow(_pairs, OUT)
+    return out if copies is None else out.unionByName(copies)
+
+
+def _guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first k characters of each text, and the whole text's sums."""
+    for batch in batches:
+        texts, takes = batch.column(5).to_pylist(), batch.column(4).to_pylist()
+        for i in range(len(texts)):
+            part = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(4)), pa.array([texts[i][: takes[i]]], pa.string()), pa.array(fingerprints([texts[i]]), pa.string())], ["to", *KEY, "text", "sums"])
+
+
+def _results(ids: list, texts: list[str], others: list[str], nexts: list[Sums | None]) -> pa.RecordBatch:
+    """The result rows of texts and their next texts (of which others may hold the start alone, if nexts has their sums)."""
+    whole, edited, shas = _edit_rows(texts, others)
+    following = tuple(np.zeros_like(x) for x in whole)
+    new = []
+    for i, given in enumerate(nexts):
+        if given is None and i + 1 < len(texts) and others[i] is texts[i + 1]:
+            given = whole[0][i + 1], whole[1][i + 1]
+        if given is None:
+            new.append(i)
+        else:
+            following[0][i], following[1][i] = given
+    if new:
+        for lanes, got in zip(following, paragraph_sums([others[i] for i in new]), strict=True):
+            lanes[new] = got
+    return pa.RecordBatch.from_arrays(
         [
-            T.StructField("doc_id", T.LongType()),
-            T.StructField("n_chars", T.LongType()),
-            T.StructField("edited_sha256", T.StringType()),
-            T.StructField("fingerprint", T.StringType()),
-            T.StructField("edited_fingerprint", T.StringType()),
-            T.StructField("near_edited", T.DoubleType()),
-            T.StructField("near_next", T.DoubleType()),
-        ]
+            pa.array(ids, pa.int64()),
+            pa.array([len(t) for t in texts], pa.int64()),
+            pa.array(shas, pa.string()),
+            pa.array(encoded(whole), pa.string()),
+            pa.array(encoded(edited), pa.string()),
+            pa.array(likeness(whole, edited)),
+            pa.array(likeness(whole, following)),
+        ],
+        OUT.names,
     )
-    return ordered.mapInArrow(_pairs, out)
+
+
+def _with_themselves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose next document is an equal one."""
+    for batch in batches:
+        for i in range(len(batch)):
+            text = batch.column(3)[i].as_py()
+            got = _results(batch.column(2)[i : i + 1].to_pylist(), [text], [text], [None])
+            yield pa.RecordBatch.from_arrays([*got.columns, batch.column(5)[i : i + 1]], [*OUT.names, "times"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,48 +297,20 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list = []
     texts: list[str] = []
     others: list[str] = []
+    nexts: list[Sums | None] = []
     last: tuple | None = None
     size = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal size
-        whole, edited, shas = _edit_rows(texts, others)
-        following = paragraph_sums(others[-1:])
-        # the next row's own sums, but where the following row isn't the next of this run
-        step = [i + 1 < len(texts) and others[i] is texts[i + 1] for i in range(len(texts))]
-        odd = [i for i, s in enumerate(step) if not s and i + 1 < len(texts)]
-        nexts = tuple(np.concatenate([w[1:], f]) for w, f in zip(whole, following, strict=True))
-        if odd:
-            got = paragraph_sums([others[i] for i in odd])
-            for lanes, new in zip(nexts, got, strict=True):
-                lanes[odd] = new
-        batch = pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array(shas, pa.string()),
-                pa.array(encoded(whole), pa.string()),
-                pa.array(encoded(edited), pa.string()),
-                pa.array(likeness(whole, edited)),
-                pa.array(likeness(whole, nexts)),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-        ids.clear()
-        texts.clear()
-        others.clear()
-        size = 0
-        return batch
-
     for batch in batches:
-        for to, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for to, guest, doc_id, text, sums in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if last is not None and last[0] == to and not last[1]:
                 ids.append(last[2])
                 texts.append(last[3])
                 others.append(text)
-                size += len(text)
+                nexts.append(tuple(x[0] for x in decoded([sums])) if guest else None)
+                size += len(last[3])
                 if size >= CHUNK:
-                    yield flush()
+                    yield _results(ids, texts, others, nexts)
+                    ids, texts, others, nexts, size = [], [], [], [], 0
             last = (to, guest, doc_id, text)
     if texts:
-        yield flush()
+        yield _results(ids, texts, others, nexts)

@@ -94,9 +94,45 @@ def test_a_hot_id_is_split(spark):
     ranked = sorted(rows, key=lambda r: (r[0], order_hash(spark, r[1])))
     want = sorted((i, hashlib.sha256(f.edited_text(t, ranked[(n + 1) % len(ranked)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(ranked))
     assert sorted((r.doc_id, r.edited_sha256) for r in got) == want
-    shares = f.Counter({50: 4, 70: 1})
-    buckets = frame.select(f._bucket(frame.doc_id, f.F.xxhash64("text"), shares).alias("b")).groupBy("b").count().collect()
-    assert len(buckets) == 7
+    keys = frame.select("doc_id", f.F.xxhash64("text").alias("h1"), f.F.xxhash64("text", f.F.lit(1)).alias("h2"), f.F.octet_length("text").alias("n_bytes")).distinct()
+    dealt = f._in_range(keys, f._bounds(keys, 12))
+    assert dealt.where("doc_id = 50").select("to").distinct().count() >= 3
+
+
+def test_null_ids_and_equal_rows_are_split(spark):
+    rnd = random.Random(4)
+    rows = [(None if i % 2 else i, f"text {rnd.random()} of\nrow {i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = frame.select("doc_id", f.F.xxhash64("text").alias("h1"), f.F.xxhash64("text", f.F.lit(1)).alias("h2"), f.F.octet_length("text").alias("n_bytes"))
+    sizes = f._in_range(keys, f._bounds(keys, 10)).groupBy("to").count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 24
+    ranked = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order_hash(spark, r[1])))
+    want = sorted(hashlib.sha256(f.edited_text(t, ranked[(n + 1) % len(ranked)][1]).encode()).hexdigest() for n, (_, t) in enumerate(ranked))
+    assert sorted(r.edited_sha256 for r in f.edited_fingerprints(frame, buckets=10).collect()) == want
+
+
+def test_a_million_equal_rows(spark):
+    frame = spark.range(1_000_000).select(f.F.lit(5).cast("long").alias("doc_id"), f.F.lit("the same text\nagain").alias("text"))
+    frame = frame.unionByName(spark.createDataFrame([(4, "before it"), (6, "after\nit")], "doc_id long, text string"))
+    got = f.edited_fingerprints(frame).groupBy("doc_id", "edited_sha256", "near_next").count().collect()
+    sha = {n: hashlib.sha256(f.edited_text(a, b).encode()).hexdigest() for n, a, b in ((4, "before it", "the same text\nagain"), (5, "the same text\nagain", "the same text\nagain"), (55, "the same text\nagain", "after\nit"), (6, "after\nit", "before it"))}
+    assert sorted((r.doc_id, r.edited_sha256, r["count"]) for r in got) == sorted([(4, sha[4], 1), (5, sha[5], 999_999), (5, sha[55], 1), (6, sha[6], 1)])
+    assert {r.near_next for r in got if r["count"] > 1} == {1.0}
+
+
+def test_ranges_follow_the_bytes(spark):
+    frame = spark.range(1000).select(f.F.col("id").alias("doc_id"), f.F.col("id").alias("h1"), f.F.xxhash64("id").alias("h2"), f.F.when(f.F.col("id") < 100, 1 << 22).otherwise(1 << 10).cast("long").alias("n_bytes"))
+    bounds = f._bounds(frame, None)
+    assert len(bounds) + 1 >= (100 << 22) // f.RANGE_BYTES
+    sizes = f._in_range(frame, bounds).groupBy("to").agg(f.F.sum("n_bytes").alias("b")).collect()
+    assert max(r.b for r in sizes) <= 2 * f.RANGE_BYTES
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "a long line of words " * 100_000), (2, "short"), (3, "another\nline " * 80_000), (4, None)]
+    got = sorted(tuple(r) for r in f.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3).collect())
+    want = reference(rows)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want])
 
 
 _hashes: dict = {}
