@@ -13,8 +13,10 @@ by a hash of the id; scoring reads whole texts of all rows.
 
 Defined results: null texts and texts without words get expected grade 0, tail probabilities 0 and aren't kept;
 labels without an id or quality aren't used, and a null toxic label counts as 0; rows of one id that are labelled
-differently take the lowest grade; without labelled rows every text with words is kept at probability 1; repeated
-rows are scored each; an empty table gives no rows.
+differently take the lowest grade; of several documents of one labelled id, the one with the least feature set (in the
+order of its bytes) is learned from; without labelled rows every text with words is kept at probability 1; repeated
+rows are scored each; texts of any length are read whole; extra columns are ignored by grade() and kept by
+select_good(), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,6 +112,19 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+def gradients(row: np.ndarray, feature: np.ndarray, grades: np.ndarray, weight: np.ndarray, w: np.ndarray, theta: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted negative log-likelihood, by the weights and by the thresholds."""
+    n, at = len(grades), np.arange(len(grades))
+    tail = 1 / (1 + np.exp(np.clip(theta[None, :] - np.bincount(row, w[feature], n)[:, None], -40, 40)))
+    full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
+    slope = full * (1 - full)
+    p = np.maximum(1e-9, full[at, grades] - full[at, grades + 1])
+    pull = weight * (slope[at, grades] - slope[at, grades + 1]) / p
+    down = weight[:, None] * slope[:, 1:-1] / p[:, None]
+    edge = np.arange(1, GRADES)[None, :]
+    return [-np.bincount(feature, pull[row], len(w)), (down * ((grades[:, None] == edge).astype(float) - (grades[:, None] == edge - 1))).sum(axis=0)]
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: float = 0.05, sparse: float = 1e-3, least_rows: int = 8) -> OrdinalModel:
     """Maximum likelihood by full-batch Adam with a proximal step for the sum of |w|, each grade weighted alike.
 
@@ -123,24 +138,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 200, rate: flo
     number[used] = np.arange(len(used))
     keep = seen[feature]
     row, feature = row[keep], number[feature[keep]]
-    n, k = len(rows), len(used)
+    k = len(used)
     weight = (1 / np.maximum(1, np.bincount(grades, minlength=GRADES)))[grades]
     weight /= weight.sum()
     w, theta = np.zeros(k), np.arange(GRADES - 1, dtype=float) - (GRADES - 2) / 2
-    at = np.arange(n)
     mean = [np.zeros(k), np.zeros(GRADES - 1)]
     square = [np.zeros(k), np.zeros(GRADES - 1)]
     for turn in range(1, rounds + 1):
-        tail = 1 / (1 + np.exp(np.clip(theta[None, :] - np.bincount(row, w[feature], n)[:, None], -40, 40)))
-        full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
-        slope = full * (1 - full)
-        p = np.maximum(1e-9, full[at, grades] - full[at, grades + 1])
-        pull = weight * (slope[at, grades] - slope[at, grades + 1]) / p
-        down = weight[:, None] * slope[:, 1:-1] / p[:, None]
-        edge = np.arange(1, GRADES)[None, :]
-        gradients = [-np.bincount(feature, pull[row], k), (down * ((grades[:, None] == edge).astype(float) - (grades[:, None] == edge - 1))).sum(axis=0)]
         steps = []
-        for g, m, v in zip(gradients, mean, square, strict=True):
+        for g, m, v in zip(gradients(row, feature, grades, weight, w, theta), mean, square, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             steps.append(np.minimum(2000, rate / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)))
@@ -159,7 +165,7 @@ def grades_of(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 8000, id_column: str = "doc_id", text: str = "text") -> OrdinalModel | None:
-    """Fit on about sample_rows rows; None without any. Only their features reach the driver."""
+    """Fit on about sample_rows labelled ids; None without any. Only the features of one row of each reach the driver."""
     importable(docs.sparkSession)
     n = grades.count()
     share = min(1.0, sample_rows / max(1, n))
@@ -177,8 +183,9 @@ def learn(docs: DataFrame, grades: DataFrame, sample_rows: int = 8000, id_column
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "grade", "features"])
 
     kind = docs.select(F.col(id_column)).schema[0].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, grade int, features binary").collect()
-    got = sorted((r.doc_id, r.grade, bytes(r.features)) for r in got if r.features)
+    made = rows.mapInArrow(run, f"doc_id {kind}, grade int, features binary").where(F.octet_length("features") > 0)
+    got = made.groupBy("doc_id", "grade").agg(F.min("features").alias("features")).collect()
+    got = sorted((r.doc_id, r.grade, bytes(r.features)) for r in got)
     if not got:
         return None
     return fit([np.frombuffer(f, np.int32) for _, _, f in got], np.array([g for _, g, _ in got]))
