@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -117,3 +118,43 @@ def test_text_after_a_header_or_another_key_stays(spark):
     one = f"-----BEGIN PRIVATE KEY-----\n{KEY}\n-----END PRIVATE KEY-----"
     text = f"a -----BEGIN PRIVATE KEY----- is the first line, then\n{one}\nwords between\n{one} end"
     assert S.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "a [pem] is the first line, then\n[pem]\nwords between\n[pem] end"
+
+
+MB = 1_000_000
+WORST = {
+    "assign": ["password" * (MB // 8), "token" + " " * MB, ("secret" + " " * 50) * (MB // 56), "api_key=" * (MB // 8), 'passwd" ' * (MB // 8)],
+    "access": ["AKIA" * (MB // 4), "AKIA" + "A" * MB, "AKIA " * (MB // 5)],
+    "hex": ["a" * MB, "abcdef0123456789abcdef0g" * (MB // 24), "0 " * (MB // 2)],
+    "pem": [
+        "-----BEGIN PRIVATE KEY-----" * (MB // 27),
+        "-----BEGIN PRIVATE KEY-----" + " " * MB,
+        "-----BEGIN PRIVATE KEY-----" + "A" * MB,
+        "-----BEGIN PRIVATE KEY-----" + ("A" * 16 + "\n") * (MB // 17) + "-----END RSA PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----" + "\\n" * (MB // 2),
+        ("-----BEGIN PRIVATE KEY-----" + "A" * 20 + " ") * (MB // 48),
+        "-----BEGIN PRIVATE KEY-----" + "Proc-Type:" * (MB // 10),
+        ("-----BEGIN PRIVATE KEY-----\n" + "AB \n" * 8) * (MB // 60),
+    ],
+    "github": ["ghp_" * (MB // 4), "ghp_" + "A" * MB, ("ghp_" + "A" * 35 + "-") * (MB // 40)],
+    "slack": ["xoxb-" * (MB // 5), "xoxb-" + "1" * MB, "xoxb-123456789 " * (MB // 15)],
+    "jwt": ["eyJ" * (MB // 3) + " .eyJ", ("eyJ" + "A" * 8 + ".") * (MB // 12), "eyJ" + "A" * MB + ".eyJ" + "A" * 100, ("eyJ" * 10 + " ") * (MB // 31)],
+    "google": ["AIza" * (MB // 4), ("AIza" + "A" * 34 + " ") * (MB // 39)],
+    "stripe": ["sk_live_" * (MB // 8), ("sk_live_" + "A" * 15 + "_") * (MB // 24)],
+    "url_login": ["a" * MB + "://a", "a://" * (MB // 4), ("http://" + "u" * 64 + ":") * (MB // 72), "http://u:" * (MB // 9)],
+}
+
+
+@pytest.mark.parametrize("kind", [r.kind for r in S.RULES])
+def test_every_rule_is_linear(kind):
+    rule = next(r for r in S.RULES if r.kind == kind)
+    for text in WORST[kind]:
+        began = time.process_time()
+        rule.spans(text)
+        took = time.process_time() - began
+        assert took < 1, (text[:60], took)
+
+
+def test_very_long_texts(spark):
+    text = "eyJ" * 100_000 + " .eyJ " + "word " * 400_000 + "password=hunter22"
+    got = S.secret_report(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in got} == {1: f"assign:{len(text) - 17}:{len(text)}", 2: ""}
