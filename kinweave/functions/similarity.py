@@ -18,8 +18,9 @@ LANES = 4096
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    """Of two sets, as arrays without repeats."""
+    both, total = overlap_count(a, b), F.size(a) + F.size(b)
+    return F.when(total > 0, both / (total - both)).otherwise(F.lit(0.0))
 
 
 def overlap_count(a: Column, b: Column) -> Column:
@@ -59,42 +60,59 @@ def common_subsequence(a: str, b: str) -> int:
 
 
 def common_subsequences(left: list[str], right: list[str]) -> np.ndarray:
-    """common_subsequence() of many pairs at once: one 64-bit word per pair, all pairs moving on one character at a time.
-
-    The shorter text of a pair is the one in bits; pairs where both exceed 64 characters are computed one by one.
-    """
+    """common_subsequence() of many pairs at once: the shorter text of a pair in bits, 64 to a word and as many words as it
+    needs with carries between them, all pairs moving on one character of the longer text at a time."""
     out = np.zeros(len(left), np.int64)
     short = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right, strict=True)]
-    fits = np.array([len(a) <= 64 for a, _ in short], bool)
-    for i in np.flatnonzero(~fits):
-        out[i] = common_subsequence(*short[i])
-    at = np.flatnonzero(fits)
-    at = at[np.argsort([len(short[i][1]) for i in at], kind="stable")]
-    for lo in range(0, len(at), LANES):
-        part = at[lo : lo + LANES]
-        texts = [short[i][0] for i in part] + [short[i][1] for i in part]
-        sizes = np.array([len(t) for t in texts])
-        if not sizes.max(initial=0):
-            continue
-        points, codes = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-        grid = np.zeros((len(texts), sizes.max()), np.int64)
-        grid[np.arange(sizes.max())[None, :] < sizes[:, None]] = codes + 1
-        a, b = grid[: len(part)], grid[len(part) :]
-        lanes = np.arange(len(part))
-        where = np.zeros((len(part), len(points) + 1), np.uint64)
-        for j in range(sizes[: len(part)].max(initial=0)):
-            where[lanes, a[:, j]] |= np.uint64(1 << j)
-        where[:, 0] = 0
-        row = np.full(len(part), 2**64 - 1, np.uint64)
-        for j in range(sizes[len(part) :].max(initial=0)):
-            hit = row & where[lanes, b[:, j]]
-            row = (row + hit) | (row - hit)
-        width = sizes[: len(part)].astype(np.uint64)
-        kept = np.where(width < 64, (np.uint64(1) << np.minimum(width, np.uint64(63))) - np.uint64(1), np.uint64(2**64 - 1))
-        out[part] = sizes[: len(part)] - np.bitwise_count(row & kept).astype(np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in short], np.int64).reshape(-1, 2)
+    width = -(-sizes[:, 0] // 64)
+    order = np.lexsort((sizes[:, 1], width))
+    order = order[width[order] > 0]
+    ends = [0, *(np.flatnonzero(np.diff(width[order])) + 1).tolist(), len(order)]
+    for first, last in zip(ends, ends[1:], strict=False):
+        lanes = max(1, LANES // int(width[order[first]])) if first < last else 1
+        for at in range(first, last, lanes):
+            part = order[at : min(last, at + lanes)]
+            out[part] = _lanes([short[i] for i in part], sizes[part], int(width[part[0]]))
     return out
 
 
+def _lanes(pairs: list[tuple[str, str]], sizes: np.ndarray, words: int) -> np.ndarray:
+    """Pairs whose shorter text fills so many words."""
+    n = len(pairs)
+    length = np.concatenate([sizes[:, 0], sizes[:, 1]])
+    points = np.frombuffer("".join([a for a, _ in pairs] + [b for _, b in pairs]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    number = np.zeros(int(points.max()) + 1, np.int32)
+    number[points] = 1
+    number = np.cumsum(number, dtype=np.int32)
+    letters = int(number[-1]) + 1
+    # letter 0 is beyond the end of a text and meets nothing
+    grid = np.zeros((2 * n, int(length.max())), np.int32)
+    grid[np.arange(grid.shape[1])[None, :] < length[:, None]] = number[points]
+    base = np.arange(n) * letters
+    cells = np.ascontiguousarray((grid + np.concatenate([base, base])[:, None]).T)
+    where = np.zeros((words, n * letters), np.uint64)
+    for j in range(int(sizes[:, 0].max())):
+        where[j // 64, cells[j, :n]] |= np.uint64(1 << j % 64)
+    where[:, base] = 0
+    row = np.full((words, n), 2**64 - 1, np.uint64)
+    for j in range(int(sizes[:, 1].max())):
+        at = cells[j, n:]
+        carry = None
+        for w in range(words):
+            hit = row[w] & where[w].take(at)
+            total = row[w] + hit
+            over = total < hit
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            row[w] = total | (row[w] - hit)
+            carry = over
+    bits = sizes[:, 0][None, :] - 64 * np.arange(words)[:, None]
+    kept = np.where(bits >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.clip(bits, 0, 63).astype(np.uint64)) - np.uint64(1))
+    return sizes[:, 0] - np.bitwise_count(row & kept).astype(np.int64).sum(axis=0)
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * LCS / total length."""
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
@@ -118,6 +136,27 @@ def token_set(a: str, b: str) -> float:
     return max(best, indel_ratio(head, one), indel_ratio(head, two)) if both else best
 
 
+def token_sets(left: list[str], right: list[str]) -> np.ndarray:
+    """token_set() of many pairs: what has to be compared is listed first and compared at once."""
+    out = np.zeros(len(left))
+    of, one, two = [], [], []
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        x, y = set(a.split()), set(b.split())
+        if not x or not y:
+            continue
+        both, own, other = sorted(x & y), sorted(x - y), sorted(y - x)
+        if both and (not own or not other):
+            out[i] = 100.0
+            continue
+        head, p, q = " ".join(both), " ".join([*both, *own]), " ".join([*both, *other])
+        for u, v in [(p, q), (head, p), (head, q)] if both else [(p, q)]:
+            of.append(i)
+            one.append(u)
+            two.append(v)
+    np.maximum.at(out, np.array(of, np.int64), indel_ratios(one, two))
+    return out
+
+
 def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     if a == b:
         return 1.0
@@ -166,10 +205,14 @@ def _batched(f: Callable[[str, str], float]):
     return run
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    left, right = a.fillna("").tolist(), b.fillna("").tolist()
+def indel_ratios(left: list[str], right: list[str]) -> np.ndarray:
+    """indel_ratio() of many pairs."""
     total = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], float)
-    return pd.Series(np.where(total > 0, 200.0 * common_subsequences(left, right) / np.maximum(total, 1), 100.0))
+    return np.where(total > 0, 200.0 * common_subsequences(left, right) / np.maximum(total, 1), 100.0)
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(indel_ratios(a.fillna("").tolist(), b.fillna("").tolist()))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -182,7 +225,11 @@ def token_sort_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return _ratios(*(x.fillna("").map(lambda t: " ".join(sorted(t.split()))) for x in (a, b)))
 
 
-token_set_udf = _batched(token_set)
+@F.pandas_udf(T.DoubleType())
+def token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(token_sets(a.fillna("").tolist(), b.fillna("").tolist()))
+
+
 jaro_winkler_udf = _batched(jaro_winkler)
 sequence_ratio_udf = _batched(sequence_ratio)
 

@@ -70,6 +70,15 @@ LANDMARKS = tuple("near opp opposite behind beside next front".split())
 # Latin letters that don't decompose.
 LETTERS = {"ß": "ss", "ẞ": "SS", "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ı": "i"}
 
+# Greek and Cyrillic letters in lower case; capitals follow.
+SCRIPTS = {
+    "α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o",
+    "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "",
+    "э": "e", "ю": "yu", "я": "ya", "є": "ye", "і": "i", "ґ": "g",
+}
+
 # The letters of the Indic blocks by their place in a block; the blocks share one order.
 INDIC_PLACES = {
     0x02: "m", 0x03: "h", 0x05: "a", 0x06: "a", 0x07: "i", 0x08: "i", 0x09: "u", 0x0A: "u", 0x0B: "r", 0x0F: "e", 0x10: "ai", 0x13: "o", 0x14: "au",
@@ -94,12 +103,13 @@ def _folds(romanise: bool) -> tuple[str, str, tuple[tuple[str, str], ...], str]:
         if (to := _stripped(ch)) != ch and not 0xAC00 <= point < 0xD7A4:
             plain[ch] = to
     if romanise:
-        plain |= LETTERS
+        scripts = SCRIPTS | {c.upper(): t.capitalize() for c, t in SCRIPTS.items() if c != "ς"}
+        plain = {c: "".join(scripts.get(x, x) for x in t) for c, t in plain.items()} | scripts | LETTERS
         for block in INDIC_BLOCKS:
             plain |= {chr(block + place): to for place, to in INDIC_PLACES.items()}
             plain |= {chr(block + 0x66 + digit): str(digit) for digit in range(10)}
     singles = {c: t for c, t in plain.items() if len(t) == 1}
-    several = tuple(sorted((c, t) for c, t in plain.items() if len(t) > 1 and (c in LETTERS or romanise and 0x0900 <= ord(c) < 0x0D80 or 0xFB00 <= ord(c) <= 0xFB06)))
+    several = tuple(sorted((c, t) for c, t in plain.items() if len(t) > 1 and (c in LETTERS or romanise and (0x0370 <= ord(c) < 0x0500 or 0x0900 <= ord(c) < 0x0D80) or 0xFB00 <= ord(c) <= 0xFB06)))
     gone = "".join(sorted(c for c, t in plain.items() if not t))
     return "".join(singles), "".join(singles.values()), several, gone
 
@@ -121,7 +131,7 @@ def strip_accents(text: Column) -> Column:
 
 
 def transliterate(text: Column) -> Column:
-    """strip_accents, the Latin letters that don't decompose, and the nine Indic scripts in Latin letters."""
+    """strip_accents, the Latin letters that don't decompose, and Greek, Cyrillic and the nine Indic scripts in Latin letters."""
     return _fold(text, True)
 
 
@@ -247,6 +257,18 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
+def char3gram_codes(text: Column) -> Column:
+    """char_ngrams(text, 3) as numbers: three code points of 21 bits each."""
+    text = F.coalesce(text, F.lit(""))
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+
+    def at(i: Column, shift: int) -> Column:
+        return F.call_function("shiftleft", F.coalesce(F.get(codes, i), F.lit(0).cast("long")), F.lit(shift))
+
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 3)), lambda i: at(i, 42).bitwiseOR(at(i + 1, 21)).bitwiseOR(at(i + 2, 0)))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams))
+
+
 def word_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """N-grams of every word padded by one space on each side, with repeats; a shorter padded word counts once."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.similarity import sorted_tokens, weighted_indel
 from kinweave.functions.text import token_set, word_ngrams
 from kinweave.operators.keys import capped_keys, token_frequency
+from kinweave.operators.postings import DIGITS, as_vectors, best_products
 from kinweave.schema import BlockingConfig
 
 PAIR = ["source1_entity_id", "candidate_entity_id"]
@@ -23,10 +24,12 @@ def bucket_sizes(keys: DataFrame, cap: int) -> DataFrame:
     return keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("bucket_size"), F.countDistinct("entity_id").alias("bucket_records")).where(F.col("bucket_size") <= cap)
 
 
-def key_join(left_keys: DataFrame, right_keys: DataFrame) -> DataFrame:
-    """Distinct pairs of records that share a key."""
+def key_join(left_keys: DataFrame, right_keys: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct pairs of records that share a key; keys of more than cap right rows don't count."""
     left = left_keys.select(*KEY, F.col("entity_id").alias(PAIR[0])).distinct()
     right = right_keys.select(*KEY, F.col("entity_id").alias(PAIR[1])).distinct()
+    if cap is not None:
+        left = left.join(bucket_sizes(right_keys, cap).select(*KEY), KEY)
     return left.join(right, KEY).select(*PAIR).distinct()
 
 
@@ -84,11 +87,14 @@ def _tokens(records: DataFrame, columns: list[str], numbers_whole: bool) -> Data
 def token_candidates(s1: DataFrame, targets: DataFrame, columns: list[str], k: int, cap: int = BlockingConfig.block_token_cap, name: str = "token", numbers_whole: bool = False) -> DataFrame:
     """Two steps: the 20 k pairs with most shared tokens, then the k with the highest share of all their tokens."""
     left, right = _tokens(s1, columns, numbers_whole), _tokens(targets, columns, numbers_whole)
-    index = right.select(F.col("entity_id").alias(PAIR[1]), "country_norm", F.explode("tokens").alias("token"), F.size("tokens").alias("n_right"))
-    rare = index.groupBy("country_norm", "token").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") <= cap).drop("freq")
-    mine = left.select(F.col("entity_id").alias(PAIR[0]), "country_norm", F.explode("tokens").alias("token"))
-    shared = mine.join(index.join(rare, ["country_norm", "token"]), ["country_norm", "token"]).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("shared"))
-    most = top_k(shared, 20 * k, "shared", "_rank").drop("_rank")
+    def rows(side: DataFrame) -> DataFrame:
+        return side.select("entity_id", "country_norm", F.explode("tokens").alias("token"), F.lit(1.0).alias("one"))
+
+    # tokens of more than cap right records aren't in the postings, so the left side needn't be filtered
+    frequent = rows(right).groupBy("country_norm", "token").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") > cap).drop("freq")
+    index = rows(right).join(frequent, ["country_norm", "token"], "left_anti")
+    met = best_products(*(as_vectors(x, "entity_id", "country_norm", "token", "one") for x in (rows(left), index)), 20 * k)
+    most = met.select(F.col("left").alias(PAIR[0]), F.col("right").alias(PAIR[1]), F.col("score").alias("shared"))
     both = most.join(left.select(F.col("entity_id").alias(PAIR[0]), F.col("tokens").alias("_l")), PAIR[0]).join(right.select(F.col("entity_id").alias(PAIR[1]), F.col("tokens").alias("_r")), PAIR[1])
     scored = both.select(*PAIR, (F.col("shared") / F.size(F.array_union("_l", "_r"))).alias(f"{name}_score"))
     return top_k(scored, k, f"{name}_score", f"{name}_rank").withColumn("blocker", F.lit(name))
@@ -122,9 +128,8 @@ def tfidf_vectors(left: DataFrame, right: DataFrame, column: str, min_df: int, m
 def tfidf_candidates(s1: DataFrame, targets: DataFrame, column: str, k: int, config: BlockingConfig = BlockingConfig(), name: str = "name_tfidf") -> DataFrame:
     """The k targets of the same country with the highest cosine of character n-gram weights."""
     left, right = tfidf_vectors(s1, targets, column, config.min_df, config.max_features)
-    left = left.select(F.col("entity_id").alias(PAIR[0]), "country_norm", "gram", F.col("weight").alias("wl"))
-    right = right.select(F.col("entity_id").alias(PAIR[1]), "country_norm", "gram", F.col("weight").alias("wr"))
-    cosine = left.join(right, ["country_norm", "gram"]).groupBy(*PAIR).agg(F.round(F.sum(F.col("wl") * F.col("wr")), 9).alias(f"{name}_score"))
+    met = best_products(*(as_vectors(x, "entity_id", "country_norm", "gram", "weight") for x in (left, right)), k)
+    cosine = met.select(F.col("left").alias(PAIR[0]), F.col("right").alias(PAIR[1]), F.round("score", DIGITS).alias(f"{name}_score"))
     return top_k(cosine, k, f"{name}_score", f"{name}_rank").withColumn("blocker", F.lit(name))
 
 

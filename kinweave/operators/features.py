@@ -1,4 +1,5 @@
-"""The 56 features of a candidate pair. Attributes are joined to narrow pairs; only then do similarities run."""
+"""The 56 features of a candidate pair. Attributes, with their sets made once per record, are joined to narrow pairs; only
+then do similarities run."""
 
 from __future__ import annotations
 
@@ -6,10 +7,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import similarity as S
-from kinweave.functions.text import char_ngrams, pipe_set, split_words, token_set
+from kinweave.functions.text import char3gram_codes, pipe_set, split_words, token_set
 from kinweave.operators.blocking import PAIR, with_texts
 
-ATTRIBUTES = ["name_norm", "address_norm", "combined_norm", "address_numbers", "legal_form", "landmark_tokens", "country_norm"]
+TEXTS = ["name_norm", "address_norm", "country_norm"]
+#: Sets of a record: (column that they are made of, function, type of the elements).
+SETS = {
+    "name_set": ("name_norm", token_set, "string"),
+    "address_set": ("address_norm", token_set, "string"),
+    "combined_set": ("combined_norm", token_set, "string"),
+    "number_set": ("address_numbers", pipe_set, "string"),
+    "form_set": ("legal_form", pipe_set, "string"),
+    "landmark_set": ("landmark_tokens", pipe_set, "string"),
+    "name_grams": ("name_norm", char3gram_codes, "bigint"),
+    "address_grams": ("address_norm", char3gram_codes, "bigint"),
+}
+ATTRIBUTES = [*TEXTS, *SETS]
 SCORES = ["name_tfidf_score", "address_tfidf_score", "combined_tfidf_score", "token_score", "keyed_score"]
 RANKS = ["candidate_rank", "keyed_rank"]
 NO_RANK = 9999.0
@@ -35,12 +48,21 @@ def _sides(column: str) -> tuple[Column, Column]:
     return F.coalesce(f"s1_{column}", F.lit("")), F.coalesce(f"cand_{column}", F.lit(""))
 
 
+def _set_sides(column: str) -> tuple[Column, ...]:
+    return tuple(F.coalesce(f"{side}_{column}", F.array().cast(f"array<{SETS[column][2]}>")) for side in ("s1", "cand"))
+
+
+def prepared(records: DataFrame) -> DataFrame:
+    """entity_id and ATTRIBUTES of normalised records; what a query doesn't use isn't made."""
+    return records.select("entity_id", *TEXTS, *[make(F.col(of)).alias(name) for name, (of, make, _) in SETS.items()])
+
+
 def native_features() -> dict[str, Column]:
     """The features that need no Python, over columns s1_* and cand_* of ATTRIBUTES."""
-    name, address, combined = _sides("name_norm"), _sides("address_norm"), _sides("combined_norm")
-    nums, forms, marks = (tuple(map(pipe_set, _sides(c))) for c in ("address_numbers", "legal_form", "landmark_tokens"))
-    nt, at, ct = (tuple(map(token_set, x)) for x in (name, address, combined))
-    grams = {k: tuple(map(char_ngrams, x)) for k, x in (("name", name), ("address", address))}
+    name, address = _sides("name_norm"), _sides("address_norm")
+    nums, forms, marks = map(_set_sides, ("number_set", "form_set", "landmark_set"))
+    nt, at, ct = map(_set_sides, ("name_set", "address_set", "combined_set"))
+    grams = {k: _set_sides(f"{k}_grams") for k in ("name", "address")}
     country = _sides("country_norm")
     target = F.col(PAIR[1])
 
@@ -129,7 +151,7 @@ def pair_features(candidates: DataFrame, s1: DataFrame, targets: DataFrame, trut
     """All features of each candidate pair, and label where truth is given. Absent blockers score 0 and rank 9999."""
     scores = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in candidates.columns else F.lit(0.0).alias(c) for c in ["candidate_strength", *SCORES]]
     ranks = [F.coalesce(F.col(c).cast("double"), F.lit(NO_RANK)).alias(c) if c in candidates.columns else F.lit(NO_RANK).alias(c) for c in RANKS]
-    rows = with_texts(candidates.select(*PAIR, *scores, *ranks), s1, targets, ATTRIBUTES)
+    rows = with_texts(candidates.select(*PAIR, *scores, *ranks), prepared(s1), prepared(targets), ATTRIBUTES)
     rows = rows.withColumns(batched_features()).withColumns(native_features()).withColumns(_derived())
     names = feature_names()
     out = rows.select(*PAIR, *[finite(F.col(c)).alias(c) for c in names])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.similarity import jaccard, overlap_count
 from kinweave.functions.text import clean_address_tokens, clean_name_tokens, token_set, useful_numbers
 from kinweave.operators.blocking import PAIR
+from kinweave.operators.postings import as_vectors, best_products
 
 EXACT_KEY = ["country_norm", "name_norm", "address_norm"]
 
@@ -68,10 +69,34 @@ def weighted_evidence(s1: DataFrame, targets: DataFrame, token_cap: int = 2500)
     return rows.groupBy(*PAIR).agg(F.sum("w").alias("weight"))
 
 
+def most_evidence(s1: DataFrame, targets: DataFrame, per_target: int, token_cap: int) -> DataFrame:
+    """The per_target pairs of each target with the highest weighted_evidence(); ties go to the smaller S1 id.
+
+    Every kind of evidence is a key with a weight on the S1 side, so the weight of a pair is the product of two sparse
+    vectors, and no token is joined out into pairs.
+    """
+    columns = [F.col("country_norm"), F.col("name_norm"), F.col("address_norm"), useful_numbers(F.col("address_numbers")).alias("nums"), clean_name_tokens(F.col("name_norm")).alias("tokens")]
+
+    def entries(side: DataFrame, who: str) -> DataFrame:
+        exact = F.when(F.col("address_norm") != "", F.array(F.struct(F.lit("exact").alias("kind"), F.concat_ws("\x01", "name_norm", "address_norm").alias("value"))))
+        several = [F.transform(c, lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), (F.concat_ws("\x01", "name_norm", x) if kind == "number" else x).alias("value"))) for kind, c in (("number", F.col("nums")), ("token", F.col("tokens")))]
+        found = F.concat(F.coalesce(exact, F.array().cast("array<struct<kind:string,value:string>>")), *several)
+        return side.select(F.col(who).alias("id"), "country_norm", F.explode(found).alias("e")).select("id", "country_norm", "e.kind", F.concat_ws("\x02", "e.kind", "e.value").alias("key"))
+
+    left, right = _sides(s1, targets, *columns)
+    mine = entries(left, PAIR[0])
+    most = F.when(F.col("kind") == "exact", 1).when(F.col("kind") == "number", 4).otherwise(token_cap)
+    common = mine.groupBy("country_norm", "kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("country_norm", "key")
+    weight = F.when(F.col("kind") == "exact", 6.0).when(F.col("kind") == "number", 4.0).otherwise(1.0)
+    index = mine.join(common, ["country_norm", "key"], "left_anti").withColumn("w", weight)
+    theirs = entries(right, PAIR[1]).withColumn("w", F.lit(1.0))
+    met = best_products(*(as_vectors(x, "id", "country_norm", "key", "w") for x in (theirs, index)), per_target)
+    return met.select(F.col("right").alias(PAIR[0]), F.col("left").alias(PAIR[1]), F.col("score").cast("int").alias("weight"))
+
+
 def fuzzy_scores(s1: DataFrame, targets: DataFrame, per_target: int = 25, token_cap: int = 2500) -> DataFrame:
     """weight, score, name_score, address_score and number_overlap of the per_target best pairs of each target."""
-    best = Window.partitionBy(PAIR[1]).orderBy(F.desc("weight"), PAIR[0])
-    top = weighted_evidence(s1, targets, token_cap).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= per_target).drop("_r")
+    top = most_evidence(s1, targets, per_target, token_cap)
     sets = [clean_name_tokens(F.col("name_norm")), clean_address_tokens(F.col("address_norm")), useful_numbers(F.col("address_numbers"))]
     left = s1.select(F.trim("entity_id").alias(PAIR[0]), *[x.alias(f"_l{i}") for i, x in enumerate(sets)])
     right = targets.select(F.trim("entity_id").alias(PAIR[1]), *[x.alias(f"_r{i}") for i, x in enumerate(sets)])

@@ -11,8 +11,8 @@ from kinweave.functions import similarity as S
 from kinweave.functions.text import char_ngrams, clean_name_tokens, normalize, soundex, split_words, strip_accents_exact, token_set, useful_numbers
 from kinweave.operators import blocking as B
 from kinweave.operators import decision, features, keys, learning, metrics, quality, rules
-from kinweave.plans import oracle
-from kinweave.schema import BlockingConfig, DecisionRule
+from kinweave.plans import oracle, pipeline
+from kinweave.schema import BlockingConfig, DecisionRule, TrainingConfig
 from kinweave.sources import records as R
 from kinweave.sources import tables
 from kinweave.sources.staging import Stash, importable
@@ -20,7 +20,7 @@ from kinweave.sources.staging import Stash, importable
 Query = Callable[[SparkSession, str], DataFrame]
 PAIR = B.PAIR
 CONFIG = BlockingConfig()
-THRESHOLDS, CAPS = (0.2, 0.35, 0.5, 0.65, 0.8, 0.95), (1, 3, None)
+THRESHOLDS, CAPS = TrainingConfig.thresholds, TrainingConfig.caps
 
 
 def micro(value: F.Column) -> F.Column:
@@ -53,12 +53,12 @@ class Data:
         return keys.capped_keys(self.s1, frequency, CONFIG.token_cap), keys.capped_keys(self.targets, frequency, CONFIG.token_cap)
 
     def close(self) -> DataFrame:
-        """Pairs that share the first two name tokens."""
+        """Pairs that share the first two name tokens, where no more targets than fit into a bucket do."""
         left, right = (keys.explode_keys(x).where("key_type = 'name_first2'").drop("gate") for x in (self.s1, self.targets))
-        return B.key_join(left, right)
+        return B.key_join(left, right, CONFIG.bucket_cap)
 
     def close_texts(self) -> DataFrame:
-        return B.with_texts(self.close(), self.s1, self.targets, features.ATTRIBUTES)
+        return B.with_texts(self.close(), features.prepared(self.s1), features.prepared(self.targets), features.ATTRIBUTES)
 
     def scored(self) -> DataFrame:
         """The close pairs with a probability (the weighted Levenshtein score) and ranks."""
@@ -366,7 +366,7 @@ def dup_rows_check(d: Data) -> DataFrame:
 
 @staged_query
 def subset_check(d: Data) -> DataFrame:
-    return quality.outside_candidates(d.rule_pairs(), d.close())
+    return quality.outside_candidates(d.close(), d.rule_pairs())
 
 
 @staged_query
@@ -428,12 +428,48 @@ def clean_tokens(d: Data) -> DataFrame:
 
 @staged_query
 def gbt_scored_pairs(d: Data) -> DataFrame:
-    made = features.native_features()
-    names = [*JACCARDS, *OVERLAPS, *LEVENSHTEINS, *STRUCTURES, *PREFIXES]
-    known = d.truth.withColumn("label", F.lit(1))
-    rows = d.close_texts().select(*PAIR, *[features.finite(made[n]).alias(n) for n in names]).withColumn("candidate_rank", F.lit(1)).join(known, PAIR, "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    model = learning.train(rows, names, trees=5, depth=4)
-    return learning.scored_pairs(rows, model)
+    rows = features.pair_features(d.close().withColumn("candidate_rank", F.lit(1)), d.s1, d.targets, d.truth)
+    return learning.scored_pairs(rows, learning.train(rows, features.feature_names(), trees=5))
+
+
+@staged_query
+def infer_end_to_end(d: Data) -> DataFrame:
+    """Training on the close pairs, then every S1 record against every target: keyed candidates, all features, model, rule."""
+    rows = features.pair_features(d.close().withColumn("candidate_rank", F.lit(1)), d.s1, d.targets, d.truth)
+    model = learning.train(learning.downsample_negatives(rows), features.feature_names(), trees=5)
+    got = pipeline.infer_normalized(d.s1, d.targets, pipeline.Trained(model, DecisionRule(threshold=0.5, cap=8), {}))
+    return got.select(PAIR[0], *[F.array_join(c, ",").alias(c) for c in ("ids", "candidate_ids")])
+
+
+@staged_query
+def stratified_sample(d: Data) -> DataFrame:
+    counts = d.roster.join(d.truth.groupBy(PAIR[0]).agg(F.count(F.lit(1)).alias("n_matches")), PAIR[0], "left").select(PAIR[0], F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+    return learning.stratified_sample(counts, 1000)
+
+
+@staged_query
+def list_offenders(d: Data) -> DataFrame:
+    lists = d.close().groupBy(PAIR[0]).agg(F.array_join(F.array_sort(F.collect_list(PAIR[1])), ",").alias("ids"))
+    surplus = d.targets.groupBy("country").agg(F.min("entity_id").alias(PAIR[0])).select(PAIR[0], F.concat_ws(",", PAIR[0], PAIR[0], F.lit("S1-1"), F.lit("X-1"), F.lit("S2-x")).alias("ids"))
+    return quality.list_offenders(lists.unionByName(surplus), d.roster, d.targets)
+
+
+@query
+def country_targets(d: Data) -> DataFrame:
+    return tables.in_countries(d.raw.where("target_source <> 'S1'"), ["en", "fr"]).select("entity_id", "target_source", "country")
+
+
+@staged_query
+def indel_ratio(d: Data) -> DataFrame:
+    """The functions as SQL functions."""
+    S.register(d.raw.sparkSession)
+    texts = d.close_texts().select(*PAIR, "s1_name_norm", "cand_name_norm", "s1_address_norm", "cand_address_norm")
+    return texts.selectExpr(*PAIR, *[f"indel_ratio(s1_{k}_norm, cand_{k}_norm) AS {k}_ratio" for k in ("name", "address")]).select(*PAIR, _r("name_ratio"), _r("address_ratio"))
+
+
+@query
+def country_id_lists(d: Data) -> DataFrame:
+    return tables.country_ids(d.raw, "en").unionByName(tables.country_ids(d.raw, "fr"))
 
 
 def queries() -> dict[str, Query]:

@@ -62,5 +62,5 @@ def countries_left(spark: SparkSession, records: DataFrame, path: str) -> DataFr
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return records
-    done = spark.read.parquet(path).select(F.col("country_norm").cast("string").alias("country_norm")).distinct()
+    done = spark.read.schema("country_norm string").parquet(path).select(F.coalesce("country_norm", F.lit("")).alias("country_norm")).distinct()
     return records.join(done, "country_norm", "left_anti")

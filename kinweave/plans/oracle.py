@@ -149,9 +149,11 @@ sizes AS (
 )"""
 
 CLOSE = f"""
-close AS (
+close_sizes AS (
+  SELECT country_norm, "key" FROM keyed WHERE key_type = 'name_first2' AND target_source <> 'S1' GROUP BY ALL HAVING count(*) <= 5000
+), close AS (
   SELECT DISTINCT l.entity_id AS {S1}, r.entity_id AS {CAND}
-  FROM keyed l JOIN keyed r ON l.country_norm = r.country_norm AND l."key" = r."key"
+  FROM keyed l JOIN close_sizes USING (country_norm, "key") JOIN keyed r ON l.country_norm = r.country_norm AND l."key" = r."key"
   WHERE l.key_type = 'name_first2' AND r.key_type = 'name_first2' AND l.target_source = 'S1' AND r.target_source <> 'S1'
 )"""
 
@@ -247,7 +249,7 @@ FUZZY = (
 name_tokens AS (
   SELECT entity_id, target_source, country_norm, unnest({CLEAN_NAME}) AS token FROM norm WHERE name_norm <> ''
 ), rare_tokens AS (
-  SELECT country_norm, token FROM name_tokens WHERE target_source = 'S1' GROUP BY ALL HAVING count(*) <= 50
+  SELECT country_norm, token FROM name_tokens WHERE target_source = 'S1' GROUP BY ALL HAVING count(*) <= 2500
 ), evidence AS (
   SELECT {S1}, {CAND}, CAST(sum(w) AS BIGINT) AS weight FROM (
     SELECT {S1}, {CAND}, 6 AS w FROM exact
@@ -338,11 +340,11 @@ def _features(names: list[str]) -> str:
 
 
 def _token_block(k: int) -> str:
-    tokens = _token_set("concat_ws(' ', name_norm, replace(address_numbers, '|', ' '))")
+    tokens = _token_set("concat_ws(' ', name_norm, address_norm, replace(address_numbers, '|', ' '))")
     return f"""
 token_sets AS (SELECT entity_id, target_source, country_norm, {tokens} AS tokens FROM norm),
 token_rows AS (SELECT entity_id, target_source, country_norm, unnest(tokens) AS token FROM token_sets),
-token_rare AS (SELECT country_norm, token FROM token_rows WHERE target_source <> 'S1' GROUP BY ALL HAVING count(*) <= 250),
+token_rare AS (SELECT country_norm, token FROM token_rows WHERE target_source <> 'S1' GROUP BY ALL HAVING count(*) <= 20000),
 token_shared AS (
   SELECT l.entity_id AS {S1}, r.entity_id AS {CAND}, count(*) AS shared
   FROM token_rows l JOIN token_rows r USING (country_norm, token) JOIN token_rare USING (country_norm, token)
@@ -384,7 +386,7 @@ def _tfidf(k: int) -> str:
         parts.append(f"CASE WHEN length(p) >= {n} THEN list_transform(range(1, length(p) - {n - 2}), lambda i: substr(p, i, {n})) ELSE [] END")
     return f"""
 names AS (
-  SELECT entity_id, target_source, country_norm || '|' || left(name_norm, 2) AS country_norm, name_norm FROM norm
+  SELECT entity_id, target_source, country_norm, name_norm FROM norm
 ), padded AS (
   SELECT entity_id, target_source, country_norm, ' ' || unnest({_words("name_norm")}) || ' ' AS p FROM names
 ), grams AS (
@@ -407,6 +409,63 @@ unit AS (
 )"""
 
 
+def _ratios(source: str, columns: dict[str, tuple[str, str]]) -> str:
+    """CTEs ending in `ratios`: source's pair ids with the Indel ratio (0 to 100) of each pair of text columns.
+
+    The longest common subsequence comes from the bit-parallel recurrence on 128-bit integers, with the shorter text in
+    the bits; where that exceeds 120 characters, from rows of the dynamic programme as lists.
+    """
+    parts, joins, picked = [], [], []
+    for name, (a, b) in columns.items():
+        parts.append(f"""
+{name}_t AS (
+  SELECT {S1}, {CAND}, CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END AS p, CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END AS q FROM {source}
+), {name}_u AS (SELECT DISTINCT p, q FROM {name}_t
+), {name}_c AS (SELECT p, q, string_split(p, '') AS pc, string_split(q, '') AS qc FROM {name}_u WHERE length(p) BETWEEN 1 AND 120
+), {name}_m AS (
+  SELECT p, q, pc, qc, list_distinct(pc) AS dc, (CAST(1 AS HUGEINT) << CAST(len(pc) AS HUGEINT)) - 1 AS full_row FROM {name}_c
+), {name}_b AS (
+  SELECT *, list_transform(dc, lambda c: list_reduce(list_transform(range(len(pc)), lambda i: CASE WHEN pc[i + 1] = c THEN CAST(1 AS HUGEINT) << CAST(i AS HUGEINT) ELSE CAST(0 AS HUGEINT) END), lambda u, v: u | v)) AS masks FROM {name}_m
+), {name}_l AS (
+  SELECT p, q, length(p) - bit_count(list_reduce(list_prepend(full_row, list_transform(qc, lambda c: coalesce(masks[list_position(dc, c)], CAST(0 AS HUGEINT)))), lambda r, m: ((r + (r & m)) | (r - (r & m))) & full_row)) AS lcs FROM {name}_b
+  UNION ALL SELECT p, q, list_max(list_reduce(
+      list_prepend(list_transform(range(length(p)), lambda i: 0), list_transform(string_split(q, ''), lambda c: list_transform(string_split(p, ''), lambda x: CAST(x = c AS INTEGER)))),
+      lambda r, m: list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(r[i], CASE WHEN m[i] = 1 THEN coalesce(r[i - 1], 0) + 1 ELSE 0 END))))))
+    FROM {name}_u WHERE length(p) > 120
+  UNION ALL SELECT p, q, 0 FROM {name}_u WHERE length(p) = 0
+), {name}_r AS (
+  SELECT t.{S1}, t.{CAND}, l.lcs, length(p) + length(q) AS total FROM {name}_t t JOIN {name}_l l USING (p, q)
+)""")
+        joins.append(f"{name}_r")
+        picked.append(f"CASE WHEN {name}_r.total = 0 THEN CAST(100 AS DOUBLE) ELSE CAST(200 AS DOUBLE) * {name}_r.lcs / {name}_r.total END AS {name}")
+    joined = joins[0] + "".join(f" JOIN {j} USING ({S1}, {CAND})" for j in joins[1:])
+    return ",".join(parts) + f",\nratios AS (SELECT {S1}, {CAND}, {', '.join(picked)} FROM {joined})"
+
+
+SET_TEXTS = ",".join(
+    f"""
+{k}_sets AS (
+  SELECT {S1}, {CAND}, list_sort(list_intersect({_token_set(f"s1_{k}_norm")}, {_token_set(f"cand_{k}_norm")})) AS both_,
+    list_sort(list_filter({_token_set(f"s1_{k}_norm")}, lambda t: NOT list_contains({_token_set(f"cand_{k}_norm")}, t))) AS own,
+    list_sort(list_filter({_token_set(f"cand_{k}_norm")}, lambda t: NOT list_contains({_token_set(f"s1_{k}_norm")}, t))) AS other
+  FROM pair_texts
+)"""
+    for k in ("name", "address")
+) + f""",
+set_texts AS (
+  SELECT n.{S1}, n.{CAND}, """ + ", ".join(f"{t}.both_ AS {k}_both, {t}.own AS {k}_own, {t}.other AS {k}_other, array_to_string(list_concat({t}.both_, {t}.own), ' ') AS {k}_p, array_to_string(list_concat({t}.both_, {t}.other), ' ') AS {k}_q" for k, t in (("name", "n"), ("address", "a"))) + f"""
+  FROM name_sets n JOIN address_sets a USING ({S1}, {CAND})
+)"""
+
+
+def _set_ratio(k: str) -> str:
+    head = f"length(array_to_string({k}_both, ' '))"
+    heads = ", ".join(f"CAST(200 AS DOUBLE) * {head} / ({head} + length({k}_{x}))" for x in "pq")
+    return f"""CASE WHEN len({k}_both) + len({k}_own) = 0 OR len({k}_both) + len({k}_other) = 0 THEN 0.0
+WHEN len({k}_both) > 0 AND (len({k}_own) = 0 OR len({k}_other) = 0) THEN 100.0
+WHEN len({k}_both) > 0 THEN greatest({k}, {heads}) ELSE {k} END"""
+
+
 def statements() -> dict[str, str]:
     from kinweave.plans.catalog import CAPS, JACCARDS, LEVENSHTEINS, OVERLAPS, PREFIXES, STRUCTURES, THRESHOLDS
 
@@ -440,7 +499,7 @@ weighed AS (
   FROM budgeted p JOIN sets x ON x.entity_id = p.{S1} JOIN sets y ON y.entity_id = p.{CAND}
 )
 SELECT {S1}, {CAND}, round(score, 6) AS keyed_score, CAST(r AS INTEGER) AS keyed_rank
-FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY score DESC, {CAND}) AS r FROM weighed) WHERE r <= 5""",
+FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY score DESC, {CAND}) AS r FROM weighed) WHERE r <= 60""",
         "token_block_topk": _with(RECORDS, NORM, _token_block(5)) + " SELECT * FROM token_top",
         "tfidf_cosine_topk": _with(RECORDS, NORM, _tfidf(3)) + " SELECT * FROM tfidf_top",
         "combine_blockers": scored + "," + COMBINED + " SELECT * FROM combined",
@@ -471,6 +530,14 @@ count(*) FILTER (n_hit > 0 AND n_hit < n_true) AS partial, count(*) FILTER (n_hi
         + f" SELECT {S1}, {CAND}, "
         + ", ".join(f"round(CASE WHEN s1_{k}_norm = cand_{k}_norm THEN 1.0 ELSE jaro_winkler_similarity(s1_{k}_norm, cand_{k}_norm) END, 6) AS {k}_jaro_winkler" for k in ("name", "address"))
         + " FROM pair_texts",
+        "token_sort_ratio": _with(RECORDS, NORM, KEYED, CLOSE, _texts("close"), SORTED_TEXTS, _ratios("sorted_texts", {"name": ("n1", "n2"), "address": ("a1", "a2")}))
+        + f" SELECT {S1}, {CAND}, round(name / 100, 6) AS name_token_sort_ratio, round(address / 100, 6) AS address_token_sort_ratio FROM ratios",
+        "token_set_ratio": _with(RECORDS, NORM, KEYED, CLOSE, _texts("close"), SET_TEXTS, _ratios("set_texts", {"name": ("name_p", "name_q"), "address": ("address_p", "address_q")}))
+        + f" SELECT {S1}, {CAND}, round({_set_ratio('name')} / 100, 6) AS name_token_set_ratio, round({_set_ratio('address')} / 100, 6) AS address_token_set_ratio FROM ratios JOIN set_texts USING ({S1}, {CAND})",
+        "scored_candidates": _with(RECORDS, NORM, KEYED, FREQUENCY, BUDGET, _texts("budgeted"), SORTED_TEXTS, _ratios("sorted_texts", {"name": ("n1", "n2"), "address": ("a1", "a2")}))
+        + f""", best AS (SELECT {S1}, {CAND}, round((CAST(0.7 AS DOUBLE) * name + CAST(0.3 AS DOUBLE) * address) / 100, 9) AS score FROM ratios)
+SELECT {S1}, {CAND}, round(score, 6) AS keyed_score, CAST(r AS INTEGER) AS keyed_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY score DESC, {CAND}) AS r FROM best) WHERE r <= 60""",
         "strip_accents_full": _with(RECORDS) + " SELECT entity_id, lower(strip_accents(business_name)) AS folded FROM records",
         "predict_threshold_cap": scored + f" SELECT r.{S1}, coalesce(string_agg(s.{CAND}, ',' ORDER BY s.prob_rank), '') AS ids FROM roster r LEFT JOIN (SELECT * FROM scored WHERE probability >= 0.6 AND prob_rank <= 3) s USING ({S1}) GROUP BY r.{S1}",
         "predict_source_specific": scored + f" SELECT {S1}, {CAND}, probability, CAST(prob_rank AS INTEGER) AS prob_rank FROM scored WHERE prob_rank <= 4 AND probability >= CASE WHEN starts_with({CAND}, 'S2-') THEN 0.5 ELSE 0.8 END",
@@ -512,7 +579,7 @@ SELECT {S1}, n_matches, CASE WHEN r <= p THEN 'holdout' WHEN r <= 2 * p THEN 'tu
 o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || {S1} || ':' || {CAND}), {S1}, {CAND}) AS r FROM lab)
 SELECT {S1}, {CAND}, label FROM o WHERE label = 1 OR r <= greatest(1, (SELECT count(*) FROM lab WHERE label = 1)) * 2""",
         "dup_rows_check": norm + " SELECT concat_ws('|', country_norm, name_norm, address_norm) AS record_key, count(*) AS n_rows FROM norm GROUP BY 1 HAVING count(*) > 1",
-        "subset_check": _with(RECORDS, TRUTH, NORM, RULES, KEYED, CLOSE) + f" SELECT * FROM rule_links WHERE ({S1}, {CAND}) NOT IN (SELECT ({S1}, {CAND}) FROM close)",
+        "subset_check": _with(RECORDS, TRUTH, NORM, RULES, KEYED, CLOSE) + f" SELECT * FROM close WHERE ({S1}, {CAND}) NOT IN (SELECT ({S1}, {CAND}) FROM rule_links)",
         "missing_ids": ruled + f" SELECT {S1} FROM roster WHERE {S1} NOT IN (SELECT {S1} FROM rule_links)",
         "list_audit": _with(RECORDS, TRUTH)
         + f""", lists AS (
@@ -544,5 +611,28 @@ SELECT country, count(*) AS n_records, count(*) FILTER (n > 0) AS n_linked, roun
 sets AS (SELECT entity_id, list(DISTINCT key_type || '=' || "key") AS k FROM capped GROUP BY entity_id),
 shared AS (SELECT m.{S1}, m.{CAND}, coalesce(list_intersect(a.k, b.k), []) AS s FROM missed m LEFT JOIN sets a ON a.entity_id = m.{S1} LEFT JOIN sets b ON b.entity_id = m.{CAND})
 SELECT {S1}, {CAND}, CAST(len(s) AS BIGINT) AS n_shared, array_to_string(list_sort(list_distinct(list_transform(s, lambda x: split_part(x, '=', 1)))), '|') AS key_types FROM shared""",
+        "stratified_sample": _with(RECORDS, TRUTH)
+        + f""", n AS (SELECT r.{S1}, count(t.{CAND}) AS n_matches FROM roster r LEFT JOIN truth t USING ({S1}) GROUP BY r.{S1}),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_matches > 0 ORDER BY md5('42:' || {S1}), {S1}) AS r FROM n),
+s AS (SELECT count(*) FILTER (n_matches = 0) AS single FROM n),
+t AS (SELECT least(single, CAST(round_even(1000 * least(CAST(0.20 AS DOUBLE), single / CAST(1000 AS DOUBLE)), 0) AS BIGINT)) AS take FROM s)
+SELECT {S1}, n_matches FROM k, t WHERE CASE WHEN n_matches > 0 THEN r <= 1000 - take ELSE r <= take END""",
+        "list_offenders": close
+        + f""", lists AS (
+  SELECT {S1}, string_agg({CAND}, ',' ORDER BY {CAND}) AS ids FROM close GROUP BY {S1}
+  UNION ALL SELECT min(entity_id), min(entity_id) || ',' || min(entity_id) || ',S1-1,X-1,S2-x' FROM records WHERE target_source <> 'S1' GROUP BY country
+), f AS (SELECT {S1} AS id, list_filter(string_split(ids, ','), lambda x: x <> '') AS found FROM lists),
+i AS (SELECT DISTINCT unnest(found) AS id FROM f)
+SELECT 'row_repeats' AS kind, id FROM f GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'id_repeats', id FROM f WHERE len(found) <> len(list_distinct(found))
+UNION ALL SELECT 's1_id', id FROM i WHERE starts_with(id, 'S1-')
+UNION ALL SELECT 'other_id', id FROM i WHERE NOT regexp_matches(id, '^S[123]-')
+UNION ALL SELECT 'unknown_id', id FROM i WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT entity_id FROM records WHERE target_source <> 'S1')
+UNION ALL SELECT DISTINCT 'missing_row', {S1} FROM roster WHERE {S1} NOT IN (SELECT id FROM f)
+UNION ALL SELECT DISTINCT 'surplus_row', id FROM f WHERE id NOT IN (SELECT {S1} FROM roster)""",
+        "country_targets": _with(RECORDS) + " SELECT entity_id, target_source, country FROM records WHERE target_source <> 'S1' AND country IN ('en', 'fr')",
+        "indel_ratio": _with(RECORDS, NORM, KEYED, CLOSE, _texts("close"), _ratios("pair_texts", {"name": ("s1_name_norm", "cand_name_norm"), "address": ("s1_address_norm", "cand_address_norm")}))
+        + f" SELECT {S1}, {CAND}, round(name, 6) AS name_ratio, round(address, 6) AS address_ratio FROM ratios",
+        "country_id_lists": _with(RECORDS) + " SELECT DISTINCT entity_id FROM records WHERE country IN ('en', 'fr')",
         "clean_tokens": norm + f" SELECT entity_id, array_to_string(list_sort({CLEAN_NAME}), ' ') AS tokens FROM norm",
     }

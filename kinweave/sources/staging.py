@@ -62,11 +62,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all tables that this driver has staged, once no result that reads them is needed any more."""
-    for root in list(_roots):
+def roots() -> set[str]:
+    """The folders that this driver has staged tables in."""
+    return set(_roots)
+
+
+def clear(spark: SparkSession, which: set[str] | None = None) -> None:
+    """Delete the tables in these folders (all by default), once no result that reads them is needed any more."""
+    for root in sorted(_roots if which is None else which):
         _delete(spark, root)
-        del _roots[root]
+        _roots.pop(root, None)
 
 
 def spread(rows: DataFrame) -> DataFrame:

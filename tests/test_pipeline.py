@@ -1,3 +1,6 @@
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import normalize
@@ -5,6 +8,7 @@ from kinweave.operators import features, learning
 from kinweave.operators.blocking import PAIR
 from kinweave.plans import pipeline
 from kinweave.schema import BlockingConfig, TrainingConfig
+from kinweave.sources import tables
 from kinweave.streaming import linking
 
 RECORDS = "entity_id string, business_name string, business_address string, country string"
@@ -87,3 +91,34 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert len(got) == 20
+
+
+def test_ranks_without_a_window_over_a_stratum(spark, capsys):
+    rows = spark.range(3000).select(F.format_string("S1-%d", "id").alias(PAIR[0]), (F.col("id") % 3).alias("n_matches"))
+    got = learning.ranked(rows, F.col("n_matches") > 0, learning.hash_order(PAIR[0], 5))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.n_matches > 0, []).append((r._r, hashlib.md5(f"5:{r[PAIR[0]]}".encode()).hexdigest(), r._n))
+    for own in by.values():
+        own.sort()
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and [x[1] for x in own] == sorted(x[1] for x in own) and {x[2] for x in own} == {len(own)}
+    assert got.columns == [*rows.columns, "_n", "_r"]
+    assert learning.stratified_sample(rows, 100).count() == 100
+
+
+def test_guards_of_the_job(spark):
+    s1, targets, truth = world(spark, 12)
+    with pytest.raises(ValueError, match="S2-1"):
+        pipeline.require_unique(targets.unionByName(targets.where("entity_id = 'S2-1'")), "S2")
+    with pytest.raises(ValueError, match="1 true matches"):
+        tables.require_positives(targets.where("entity_id <> 'S2-1'"), truth.select(F.col(PAIR[1]).alias("entity_id")))
+    lists = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", ""), ("S1-1", "S2-9")], "source1_entity_id string, ids string")
+    assert {tuple(r) for r in tables.id_list_rows(lists.coalesce(1)).collect()} == {("S1-1", 2, "S2-9"), ("S1-2", 1, "")}
+
+
+def test_booster_settings(spark):
+    rows = spark.range(400).select(F.format_string("S1-%d", "id").alias(PAIR[0]), F.lit("S2-1").alias(PAIR[1]), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"), (F.col("id") % 7 > 3).cast("int").alias("label"), F.lit(1).alias("candidate_rank"))
+    model = learning.train(rows, ["x", "y"], trees=3, depth=4, row_share=0.7, column_share=0.5, min_rows=3, min_gain=0.001)
+    trees = model.folds[0][0]
+    assert trees.getNumTrees == 3 and trees.getOrDefault("maxDepth") == 4 and trees.getOrDefault("minInstancesPerNode") == 3
+    assert trees.getOrDefault("featureSubsetStrategy") == "0.5" and trees.getOrDefault("subsamplingRate") == 0.7

@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -58,7 +59,7 @@ def test_udfs_match_functions(spark):
         assert tuple(r) == (S.indel_ratio(a, b), S.token_sort(a, b), S.token_set(a, b), S.jaro_winkler(a, b), S.sequence_ratio(a, b))
 
 
-LONG = st.one_of(WORD, st.text("abé日 ", min_size=55, max_size=75))
+LONG = st.one_of(WORD, st.text("abé日 ", min_size=55, max_size=75), st.text("ab c", min_size=120, max_size=260))
 
 
 @given(st.lists(st.tuples(LONG, LONG), max_size=12))
@@ -66,3 +67,11 @@ LONG = st.one_of(WORD, st.text("abé日 ", min_size=55, max_size=75))
 def test_many_pairs_at_once(pairs):
     left, right = [a for a, _ in pairs], [b for _, b in pairs]
     assert S.common_subsequences(left, right).tolist() == [S.common_subsequence(a, b) for a, b in pairs]
+    assert S.token_sets(left, right).tolist() == [S.token_set(a, b) for a, b in pairs]
+
+
+def test_carries_between_words():
+    rnd = random.Random(1)
+    pairs = [("".join(rnd.choices("ab", k=n)), "".join(rnd.choices("ab", k=m))) for n in (63, 64, 65, 127, 128, 129, 300) for m in (64, 65, 128, 130, 301) for _ in range(4)]
+    assert S.common_subsequences(*map(list, zip(*pairs, strict=True))).tolist() == [brute_lcs(a, b) for a, b in pairs]
+    assert S.common_subsequences([], []).tolist() == []

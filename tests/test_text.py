@@ -65,3 +65,16 @@ def test_normalize_adds_columns(spark):
     assert got.name_norm == "moon boards" and got.address_norm == "12 main street kanpur 208001"
     assert got.combined_norm == "moon boards 12 main street kanpur 208001  IN"
     assert got.country_norm == "in" and got.address_numbers == "12|208001"
+
+
+def test_gram_codes_are_the_grams(spark):
+    rows = spark.createDataFrame([("abcabc",), ("ab",), ("",), (None,), ("é日x𝒳yz",)], "t string")
+    for r in rows.select(X.char_ngrams(F.col("t")).alias("g"), X.char3gram_codes(F.col("t")).alias("c")).collect():
+        want = [sum(ord(ch) << s for ch, s in zip(g, (42, 21, 0))) for g in r.g]
+        assert r.c == want
+
+
+def test_greek_and_cyrillic(spark):
+    rows = spark.createDataFrame([("Αθήνα Ψυχή λόγος",), ("Москва, улица Щукина 5",), ("Київ йод єдність",)], "t string")
+    assert [r[0] for r in rows.select(X.transliterate(F.col("t"))).collect()] == ["Athina Psychi logos", "Moskva, ulitsa Shchukina 5", "Kiiv yod yednist"]
+    assert rows.select(X.strip_accents(F.col("t"))).first()[0] == "Αθηνα Ψυχη λογος"
