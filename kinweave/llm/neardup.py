@@ -7,15 +7,22 @@ reached it, so all are filled after 2t rounds at most, and usually after about t
 
 Documents of equal sets form one class, of which the smallest id stands for all. Bands of coordinates put
 representatives into buckets; the number of bands follows from the similarity, so that a pair at the threshold is
-missed with probability below `miss`. Each bucket links its members to its smallest one only (no pairs), and the
-components of these are the clusters of candidates. Inside a cluster all pairs are compared on the full sets, as
-products of membership matrices; clusters are cut into blocks and each pair of blocks is a task of its own, so a
-cluster of any size is verified whole in bounded memory. A task returns a spanning forest of its links, and
-the components of those are the result.
+missed with probability below `miss`. A pair is a candidate if it shares a bucket, and every candidate pair whose ends
+aren't connected otherwise is compared on the full sets:
+
+- stars: each bucket's members are compared with one of them, the hub. Links found are contracted to components. Large
+  buckets that still hold several components get further stars with other hubs, each compared only with members of
+  other components. A cluster of near copies is settled by these, in work that grows with its size;
+- blocks: in what buckets are left with several components, members are cut into blocks, a large component into blocks
+  of its own. Each pair of blocks but those of one component is a task of bounded size, which compares all its pairs of
+  different components as products of membership matrices and returns a spanning forest of the links.
+
+The components of all links are the result; links inside a component add nothing, so leaving them out loses none.
 
 Defined results: null and word-less texts have empty sets and link with nothing; fewer words than a shingle make
 one shingle of them all; rows of one id are one document with the links of each; rows without an id get a null
-component and are kept; an empty table gives no rows.
+component and are kept; texts of any length are read whole; extra columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.components import components
-from kinweave.llm.runtime import Stash, importable
+from kinweave.llm.runtime import Stash, importable, lookup
 from kinweave.llm.textarrays import FOLD, U64, byte_rows, chunks, mix, seeded, word_hashes
 
 ROWS = 5
-#: Blocks of a cluster: about BLOCK rows while there are at most BLOCKS of them, then up to WIDE rows each.
-BLOCK, BLOCKS, WIDE = 64, 32, 512
-#: Representatives in candidate clusters up to which their ids are broadcast to the second scan (24 bytes each).
-BROADCAST_IDS = 400_000
+#: Members of a star's task, and of a block.
+STAR, BLOCK = 256, 256
+#: Buckets of more members than this get up to ROUNDS stars before blocks.
+LARGE, ROUNDS = 64, 4
+#: Documents to compare up to which their ids and tasks are broadcast to the second scan, and tasks of all of them.
+BROADCAST_IDS, BROADCAST_TASKS = 150_000, 600_000
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 _seeds: dict[int, np.ndarray] = {}
 
@@ -150,40 +159,132 @@ def _sketches(rows: DataFrame, width: int, count: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, low long, high long, bands array<long>")
 
 
-def _verified(sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Spanning forests (a, b) of the links in each task; rows come sorted by task."""
+def _sets(rows: DataFrame, tasks: DataFrame, width: int, stash: Stash) -> DataFrame:
+    """task, role, label, doc_id and elements of each of the tasks' (doc_id, task, role, label); a set is made once and dealt to its tasks."""
+    wanted = stash(tasks.groupBy("doc_id").agg(F.collect_list(F.struct("task", "role", "label")).alias("tasks")))
+    n, most = wanted.agg(F.count(F.lit(1)), F.sum(F.size("tasks"))).first()
+    few = n <= BROADCAST_IDS and (most or 0) <= BROADCAST_TASKS
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(batch.column(2), width)]
+            # equal rows of one id are dealt once by each task
+            keys = [(i, hash(s)) if s else None for i, s in zip(batch.column(0).to_pylist(), sets, strict=True)]
+            new = [k for k, key in enumerate(keys) if key and key not in seen and not seen.add(key)]
+            part = batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sets[k] for k in new], pa.binary())], ["doc_id", "tasks", "elements"])
+
+    kind = "array<struct<task:long,role:int,label:long>>"
+    met = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "tasks", "text")
+    sets = met.mapInArrow(full_sets, f"doc_id long, tasks {kind}, elements binary").select("doc_id", "elements", F.explode("tasks").alias("t"))
+    return sets.select("t.task", "t.role", "t.label", "doc_id", "elements")
+
 
-    def links(ids: list[int], block: list[int], held: list[np.ndarray], diagonal: bool) -> list[tuple[int, int]]:
-        if len(ids) < 2:
-            return []
-        matrix = linked(held, similarity)
-        if not diagonal:
-            side = np.array(block)
-            matrix &= side[:, None] != side[None, :]
-        return [(ids[a], ids[b]) for a, b in forest(matrix) if ids[a] != ids[b]]
+def _compared(dealt: DataFrame, compare) -> DataFrame:
+    """Links (a, b) that compare(ids, roles, labels, sets) finds in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, block, held = None, [], [], []
+        task, ids, roles, labels, held = None, [], [], [], []
         found: list[tuple[int, int]] = []
         for batch in batches:
-            cluster, i, j, own, doc_id = (batch.column(k).to_pylist() for k in range(5))
-            for k, raw in enumerate(batch.column(5)):
-                if (cluster[k], i[k], j[k]) != task:
-                    if task:
-                        found += links(ids, block, held, task[1] == task[2])
-                    task, ids, block, held = (cluster[k], i[k], j[k]), [], [], []
+            own, role, label, doc_id = (batch.column(k).to_pylist() for k in range(4))
+            for k, raw in enumerate(batch.column(4)):
+                if own[k] != task:
+                    found += compare(ids, roles, labels, held)
+                    task, ids, roles, labels, held = own[k], [], [], [], []
                 ids.append(doc_id[k])
-                block.append(own[k])
+                roles.append(role[k])
+                labels.append(label[k])
                 held.append(np.frombuffer(raw.as_buffer(), np.uint64).copy())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
                 found = []
-        if task:
-            found = links(ids, block, held, task[1] == task[2])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+        found = compare(ids, roles, labels, held)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    ordered = dealt.repartition("task").sortWithinPartitions("task", "role", "doc_id")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def star_links(ids: list[int], roles: list[int], held: list[np.ndarray], similarity: Fraction) -> list[tuple[int, int]]:
+    """Links of the sets of role 0, the hub's (one for each text of its id), with the others."""
+    out = []
+    hubs = roles.count(0)
+    for i in range(hubs, len(ids)):
+        for hub in held[:hubs]:
+            common = int((hub[np.minimum(np.searchsorted(hub, held[i]), len(hub) - 1)] == held[i]).sum())
+            if similarity.denominator * common >= similarity.numerator * (len(hub) + len(held[i]) - common) and ids[i] != ids[0]:
+                out.append((ids[0], ids[i]))
+                break
+    return out
+
 
-    return sets.mapInArrow(run, "a long, b long")
+def block_links(ids: list[int], labels: list[int], held: list[np.ndarray], similarity: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different labels."""
+    if len(ids) < 2:
+        return []
+    of = np.array(labels)
+    matrix = linked(held, similarity) & (of[:, None] != of[None, :])
+    return [(ids[a], ids[b]) for a, b in forest(matrix) if ids[a] != ids[b]]
+
+
+def _star_tasks(pairs: DataFrame) -> DataFrame:
+    """Tasks of distinct (hub, rep): at most about STAR members each, with the hub."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
+    label = F.lit(0).cast("long").alias("label")
+    members = pairs.join(parts, "hub").select(F.col("rep").alias("doc_id"), F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("task"), F.lit(1).alias("role"), label)
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return members.unionByName(hubs.select(F.col("hub").alias("doc_id"), F.xxhash64("hub", "part").alias("task"), F.lit(0).alias("role"), label))
+
+
+def _block_tasks(members: DataFrame, stash: Stash) -> DataFrame:
+    """Tasks of (band, rep, label): pairs of blocks of a bucket, without those of one component."""
+    counts = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("band").agg(F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("mixed"))
+    own = counts.join(sizes, "band").select("band", "label", F.when(F.col("n") >= BLOCK, F.col("label")).alias("pure"), F.greatest(F.lit(1), F.ceil(F.when(F.col("n") >= BLOCK, F.col("n")).otherwise(F.col("mixed")) / BLOCK)).alias("parts"))
+    placed = stash(members.join(own, ["band", "label"]).withColumn("block", F.xxhash64("band", F.coalesce("pure", F.lit(-1)), F.pmod(F.xxhash64("rep"), F.col("parts")))))
+    blocks = placed.select("band", "block", "pure").distinct()
+    other = blocks.select("band", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    pairs = blocks.join(other, "band").where("block <= other and not coalesce(pure = other_pure, false)").select("band", "block", "other", F.xxhash64("block", "other").alias("task"))
+    tasks = pairs.select("band", "block", "task").unionByName(pairs.where("block <> other").select("band", F.col("other").alias("block"), "task"))
+    return placed.join(tasks, ["band", "block"]).select(F.col("rep").alias("doc_id"), "task", F.lit(1).alias("role"), "label")
+
+
+def _links(rows: DataFrame, classes: DataFrame, width: int, similarity: Fraction, stash: Stash) -> DataFrame | None:
+    """Links (a, b) that connect what candidate pairs of representatives connect; None without any candidates."""
+    keyed = classes.select("rep", F.explode("bands").alias("band")).distinct()
+    buckets = stash(keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if not buckets.limit(1).count():
+        return None
+    members = stash(lookup(keyed, buckets, ["band"], "n", "inner").select("band", "rep", "hub", "n"))
+
+    def stars(pairs: DataFrame) -> DataFrame:
+        dealt = _sets(rows, _star_tasks(stash(pairs.where("rep <> hub").select("hub", "rep").distinct())), width, stash)
+        return stash(_compared(dealt, lambda ids, roles, labels, held: star_links(ids, roles, held, similarity)))
+
+    links = stars(members)
+    turn = 1
+    while True:
+        labels = components(links, stash)
+        known = members.select("band", "rep", "hub", "n").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "hub", "n", F.coalesce("component", "rep").alias("label"))
+        # the first hub has met all members of its bucket, so its own pairs are done
+        open_ = known.where("rep <> hub").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("next_hub"))
+        # buckets of the same members are one
+        open_ = open_.where("low <> high").groupBy("members", "x", "y", "next_hub").agg(F.min("band").alias("band"))
+        open_ = stash(open_)
+        if not open_.limit(1).count():
+            return links
+        large = open_.where(F.col("members") > LARGE)
+        left = lookup(known.where("rep <> hub").select("band", "rep", "label"), open_.select("band", "members", "next_hub"), ["band"], "members", "inner")
+        if turn >= ROUNDS or not large.limit(1).count():
+            dealt = _sets(rows, _block_tasks(left.select("band", "rep", "label"), stash), width, stash)
+            return links.unionByName(stash(_compared(dealt, lambda ids, roles, labels, held: block_links(ids, labels, held, similarity))))
+        hub_label = labels.select(F.col("node").alias("next_hub"), F.col("component").alias("hub_label"))
+        far = left.where(F.col("members") > LARGE).join(hub_label, "next_hub", "left").where("label <> coalesce(hub_label, next_hub)")
+        links = stash(links.unionByName(stars(far.select(F.col("next_hub").alias("hub"), "rep"))))
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5), id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,35 +296,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = stash(_sketches(rows, width, count))
     same = ["low", "high", "n_shingles"]
-    classes = stash(sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-
-    # candidates: every bucket is a star around its smallest representative
-    keyed = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-    clusters = components(keyed.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), stash)
-
-    # tasks: pairs of blocks of a cluster
-    blocks = F.when(F.col("n") <= BLOCK * BLOCKS, F.ceil(F.col("n") / BLOCK)).otherwise(F.greatest(F.lit(BLOCKS), F.ceil(F.col("n") / WIDE)))
-    members = stash(
-        clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(F.col("component").alias("cluster"), blocks.cast("int").alias("blocks")), F.col("component") == F.col("cluster")).select(
-            F.col("node").alias("doc_id"), "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-        )
-    )
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(4), width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), sets], ["doc_id", "cluster", "blocks", "own", "elements"])
-
-    sets = rows.join(wanted, "doc_id").select("doc_id", "cluster", "blocks", "own", "text").mapInArrow(full_sets, "doc_id long, cluster long, blocks int, own int, elements binary")
-    dealt = sets.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "doc_id", "elements")
-    tasks = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "elements")
-    ordered = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    found = components(_verified(ordered, similarity), stash)
-
-    # every row -> its class -> the component of the class's representative
-    named = classes.select(*same, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*[F.col(c).alias(f"class_{c}") for c in same], F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", *same).join(named, [F.col(c) == F.col(f"class_{c}") for c in same], "left")
+    real = sketched.where("n_shingles > 0 and doc_id is not null")
+    classes = stash(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
+    parts = [_links(rows, classes, width, similarity, stash)]
+    # an id of several texts connects their classes
+    several = real.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("one"), F.max(F.struct(*same)).alias("other")).where("one <> other").select("doc_id")
+    several = stash(several)
+    if several.limit(1).count():
+        parts.append(real.select("doc_id", *same).join(several, "doc_id", "left_semi").join(classes.select(*same, "rep"), same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    links = [p for p in parts if p is not None]
+    found = components(links[0].unionByName(links[1]) if len(links) > 1 else links[0], stash) if links else spark.createDataFrame([], "node long, component long")
+
+    # every row -> its class -> the component of the class's representative; a class of one row without links is its own
+    named = classes.select(*same, "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = stash(named.where("n > 1 or component is not null").select(*same, F.coalesce("component", "rep").alias("component"), "n"))
+    filled = lookup(sketched.where("n_shingles > 0").select("doc_id", *same), named, same, "n").select("doc_id", "n_shingles", "component")
+    out = filled.unionByName(sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     per_row = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", per_row.alias("component_id"), F.coalesce(per_row == F.col("doc_id"), F.lit(True)).alias("kept"))

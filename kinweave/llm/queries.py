@@ -129,5 +129,30 @@ FROM rated
 """
 
 
+#: All pairs that share a shingle, compared on their whole sets, and what they reach.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), near AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links AS (
+  SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), component AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) AS component_id, least(s.doc_id, coalesce(c.low, s.doc_id)) = s.doc_id AS kept
+FROM sets s LEFT JOIN component c ON c.a = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": TOP_K_SQL, "op9_mixing": MIXING_SQL}
+    return {"op3_exact_top_k": TOP_K_SQL, "op6_near_duplicates": NEAR_DUPLICATES_SQL, "op9_mixing": MIXING_SQL}

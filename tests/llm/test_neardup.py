@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import neardup as nd
+from kinweave.llm import runtime
 from kinweave.llm.components import components
 from kinweave.llm.runtime import Stash
 
@@ -65,22 +66,55 @@ def test_equals_brute_force(spark, width, similarity):
     assert run(frame, width, similarity) == brute(rows, width, similarity)
 
 
-def test_blocks_of_a_large_cluster(spark, monkeypatch):
+def test_stars_and_blocks_of_large_clusters(spark, monkeypatch):
     rnd = random.Random(9)
-    texts = copies(rnd, [f"w{i}" for i in range(100)], 90, 12)
+    texts = copies(rnd, [f"w{i}" for i in range(100)], 90, 12) + copies(rnd, [f"v{i}" for i in range(60)], 40, 3)
     rows = list(enumerate(texts))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     whole = run(frame)
-    assert whole == brute(rows, 3, Fraction(85, 100))
-    monkeypatch.setattr(nd, "BLOCK", 7)
-    assert run(frame) == whole
-    monkeypatch.setattr(nd, "BLOCKS", 2)
-    monkeypatch.setattr(nd, "WIDE", 11)
-    assert run(frame) == whole
-    monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+    assert whole == brute(rows, 3, Fraction(85, 100)) and len({r[2] for r in whole}) > 20
+    for changed in ({"BLOCK": 7}, {"STAR": 5, "LARGE": 2, "ROUNDS": 2}, {"ROUNDS": 1}, {"BROADCAST_IDS": 0}):
+        for name, value in changed.items():
+            monkeypatch.setattr(nd, name, value)
+        assert run(frame) == whole
+    monkeypatch.setattr(runtime, "SMALL_TABLE", 0)
     assert run(frame) == whole
 
 
+def test_near_copies_of_one_text_are_settled_by_stars(spark, monkeypatch):
+    """Tasks grow with the cluster, not with its square: no blocks, and each text once or a few times."""
+    rnd = random.Random(10)
+    dealt = []
+    keep = nd._sets
+    monkeypatch.setattr(nd, "_sets", lambda rows, tasks, *more: dealt.append(tasks.count()) or keep(rows, tasks, *more))
+    monkeypatch.setattr(nd, "_block_tasks", lambda *x: pytest.fail("blocks"))
+    for n in (400, 1600):
+        dealt.clear()
+        frame = spark.createDataFrame(list(enumerate(copies(rnd, [f"w{i}" for i in range(300)], n, 2))), "doc_id long, text string")
+        assert {r[2] for r in run(frame)} == {0} and sum(dealt) < 4 * n
+
+
+def test_an_id_of_several_texts_connects_them(spark):
+    rows = [(1, "a b c d e f g"), (7, "a b c d e f g"), (7, "p q r s t u v"), (9, "p q r s t u v"), (11, "k l m n"), (7, "x y z x y z w")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(frame) == brute(rows, 3, Fraction(85, 100))
+
+
+def test_a_hot_id_of_equal_rows(spark):
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(5, " ".join(base))] * 300 + list(enumerate(copies(rnd, base, 30, 1), 10))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 3, Fraction(85, 100))
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["new"] + words[1000:])), (3, " ".join(words[: len(words) // 2])), (4, "w " * 500_000), (5, "x" * 2_000_000)]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r[2] for r in got] == [1, 1, 3, 4, 5]
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert run(odd_docs) == brute(rows, 3, Fraction(85, 100))
