@@ -35,8 +35,9 @@ from kinweave.llm.runtime import Stash, importable, lookup, numbered
 from kinweave.llm.textarrays import CHUNK, U64, byte_rows, chunks, mix, seeded, word_hashes
 
 EQUAL, LIKE = 8, 128
-#: Text in a range of ids; at most so many ranges (about what one shuffle can have), and rows sampled for their bounds.
-RANGE_BYTES, RANGES, SAMPLE = 1 << 25, 100_000, 400_000
+#: Text in a range of ids: RANGE_BYTES up to FEW ranges, then up to WIDE_BYTES; above RANGES ranges (about what one shuffle can
+#: have, 6 TB) a range grows, to 1 GB at 100 TB; ranges are streamed. Rows sampled for the bounds at most.
+RANGE_BYTES, FEW, WIDE_BYTES, RANGES, SAMPLE = 1 << 23, 4096, 1 << 26, 100_000, 400_000
 Sums = tuple[np.ndarray, np.ndarray]
 
 
@@ -180,8 +181,7 @@ def sort_keys(known: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndar
 def _bounds(keys: DataFrame, buckets: int | None) -> np.ndarray:
     """First keys of the ranges, which hold about the same number of bytes; an id of many rows is split by its texts' hashes."""
     size, n = keys.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
-    cores = keys.sparkSession.sparkContext.defaultParallelism
-    wanted = buckets or min(RANGES, max(math.ceil(size / RANGE_BYTES), min(4 * cores, math.ceil(size / (1 << 20))), 1))
+    wanted = buckets or max(1, min(FEW, math.ceil(size / RANGE_BYTES)), min(RANGES, math.ceil(size / WIDE_BYTES)))
     share = min(1.0, min(SAMPLE, 64 * wanted) / n)
     taken = keys.where(F.col("h2") <= F.lit(int(-(2**63) + share * (2**64 - 1) * (1 - 1e-12)))) if share < 1 else keys
     got = taken.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "n_bytes").toArrow()
