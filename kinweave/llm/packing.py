@@ -96,7 +96,9 @@ def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 2048, per_sour
     stash = Stash(spark)
     body = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", ""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.when(F.length(body) > 0, F.xxhash64(body)).alias("cluster"))
-    single = stash(numbered(rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))))
+    # staged before it is numbered, so that the texts are read once
+    counted = stash(rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("n")))
+    single = stash(numbered(counted))
     n_pieces = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("size") / capacity))
     n, words, pieces_in_all = single.agg(F.count(F.lit(1)), F.sum("size"), F.sum(n_pieces)).first()
     groups = max(1, round(n / group_rows))
