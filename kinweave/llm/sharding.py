@@ -32,21 +32,21 @@ def prefix(column: Column, depth: Column | int) -> Column:
     return F.call_function("shiftright", column, (F.lit(BITS) - depth).cast("int")).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int")))
 
 
-def copies(docs: DataFrame) -> DataFrame:
+def copies(docs: DataFrame, stash: Stash) -> DataFrame:
     """The rows as `row`, equal ones numbered from 0 in `copy`; they are counted, not ranked, so no task sees them together."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return numbered(named.groupBy("row").agg(F.count(F.lit(1)).alias("n")))
+    return numbered(stash(named.groupBy("row").agg(F.count(F.lit(1)).alias("n"))))
 
 
 def _hash(*parts: Column) -> Column:
     return F.call_function("shiftrightunsigned", F.xxhash64(*parts), F.lit(64 - BITS))
 
 
-def items(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def items(docs: DataFrame, stash: Stash, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, copy and hash of every input row, without the text."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.xxhash64(body).alias("body"))
-    return copies(rows).select("row.doc_id", "row.n_bytes", "copy", _hash(F.col("row.doc_id"), F.col("row.body"), F.col("copy")).alias("hash"))
+    return copies(rows, stash).select("row.doc_id", "row.n_bytes", "copy", _hash(F.col("row.doc_id"), F.col("row.body"), F.col("copy")).alias("hash"))
 
 
 def directory(rows: DataFrame, limit: int, stash: Stash) -> DataFrame:
@@ -90,7 +90,7 @@ def located(rows: DataFrame, shards: DataFrame) -> DataFrame:
 def assign(docs: DataFrame, limit: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, copy, n_bytes, shard (prefix with a leading 1), depth, shard_bytes and oversize of every input row."""
     stash = Stash(docs.sparkSession)
-    rows = stash(items(docs, id_column, text))
+    rows = items(docs, stash, id_column, text)
     found = located(rows, stash(directory(rows, limit, stash)))
     return found.select("doc_id", "copy", "n_bytes", "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
 
@@ -105,9 +105,8 @@ def write_shards(docs: DataFrame, limit: int, path: str, id_column: str = "doc_i
         folder += "_"
     stash = Stash(docs.sparkSession)
     body = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    rows = stash(copies(docs).select("row", F.octet_length(body).cast("long").alias("n_bytes"), _hash(F.col(f"row.{id_column}"), F.xxhash64("row"), F.col("copy")).alias("hash")))
+    rows = copies(docs, stash).select("row", F.octet_length(body).cast("long").alias("n_bytes"), _hash(F.col(f"row.{id_column}"), F.xxhash64("row"), F.col("copy")).alias("hash"))
     shards = stash(directory(rows.select("hash", "n_bytes"), limit, stash))
     found = located(rows, shards).select("row", F.col("shard").alias("_shard")).repartition("_shard")
     found.select("row.*", F.col("_shard").alias(folder)).write.mode("overwrite").partitionBy(folder).parquet(path)
-    stash.drop(rows)
     return shards
