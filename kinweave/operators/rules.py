@@ -79,8 +79,9 @@ def most_evidence(s1: DataFrame, targets: DataFrame, per_target: int, token_cap:
 
     def entries(side: DataFrame, who: str) -> DataFrame:
         exact = F.when(F.col("address_norm") != "", F.array(F.struct(F.lit("exact").alias("kind"), F.concat_ws("\x01", "name_norm", "address_norm").alias("value"))))
-        several = [F.transform(c, lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), (F.concat_ws("\x01", "name_norm", x) if kind == "number" else x).alias("value"))) for kind, c in (("number", F.col("nums")), ("token", F.col("tokens")))]
-        found = F.concat(F.coalesce(exact, F.array().cast("array<struct<kind:string,value:string>>")), *several)
+        number = F.transform("nums", lambda x: F.struct(F.lit("number").alias("kind"), F.concat_ws("\x01", "name_norm", x).alias("value")))
+        token = F.transform("tokens", lambda x: F.struct(F.lit("token").alias("kind"), x.alias("value")))
+        found = F.concat(F.coalesce(exact, F.array().cast("array<struct<kind:string,value:string>>")), number, token)
         return side.select(F.col(who).alias("id"), "country_norm", F.explode(found).alias("e")).select("id", "country_norm", "e.kind", F.concat_ws("\x02", "e.kind", "e.value").alias("key"))
 
     left, right = _sides(s1, targets, *columns)

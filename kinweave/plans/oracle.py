@@ -360,25 +360,6 @@ token_shared AS (
 )"""
 
 
-COMBINED = (
-    _token_block(5)
-    + f""",
-first2_top AS (
-  SELECT {S1}, {CAND}, probability AS first2_score, CAST(prob_rank AS INTEGER) AS first2_rank FROM scored WHERE prob_rank <= 5
-), united AS (
-  SELECT {S1}, {CAND}, coalesce(t.token_score, 0) AS token_score, coalesce(f.first2_score, 0) AS first2_score, coalesce(t.token_rank, 0) AS token_rank, coalesce(f.first2_rank, 0) AS first2_rank,
-    CASE WHEN t.token_rank IS NULL THEN 'first2' WHEN f.first2_rank IS NULL THEN 'token' ELSE 'first2|token' END AS blocker
-  FROM token_top t FULL JOIN first2_top f USING ({S1}, {CAND})
-), combined AS (
-  SELECT * FROM (
-    SELECT *, greatest(token_score, first2_score) AS candidate_strength,
-      CAST(row_number() OVER (PARTITION BY {S1} ORDER BY greatest(token_score, first2_score) DESC, {CAND}) AS INTEGER) AS candidate_rank
-    FROM united
-  ) WHERE candidate_rank <= 8
-)"""
-)
-
-
 def _tfidf(k: int) -> str:
     parts = []
     for n in (3, 4, 5):
@@ -502,8 +483,6 @@ SELECT {S1}, {CAND}, round(score, 6) AS keyed_score, CAST(r AS INTEGER) AS keyed
 FROM (SELECT *, row_number() OVER (PARTITION BY {S1} ORDER BY score DESC, {CAND}) AS r FROM weighed) WHERE r <= 60""",
         "token_block_topk": _with(RECORDS, NORM, _token_block(5)) + " SELECT * FROM token_top",
         "tfidf_cosine_topk": _with(RECORDS, NORM, _tfidf(3)) + " SELECT * FROM tfidf_top",
-        "combine_blockers": scored + "," + COMBINED + " SELECT * FROM combined",
-        "candidate_lists": scored + "," + COMBINED + f" SELECT {S1}, string_agg({CAND}, ',' ORDER BY candidate_rank) AS candidate_ids FROM combined GROUP BY {S1}",
         "truth_pairs": _with(RECORDS, TRUTH) + " SELECT * FROM truth",
         "truth_lists": _with(RECORDS, TRUTH) + f" SELECT r.{S1}, coalesce(string_agg(DISTINCT t.{CAND}, ',' ORDER BY t.{CAND}), '') AS matched_entity_ids, count(DISTINCT t.{CAND}) AS n_matches FROM roster r LEFT JOIN truth t USING ({S1}) GROUP BY r.{S1}",
         "label_pairs": close + f" SELECT c.{S1}, count(*) AS n_pairs, count(t.{CAND}) AS n_positive FROM close c LEFT JOIN truth t USING ({S1}, {CAND}) GROUP BY c.{S1}",

@@ -39,12 +39,13 @@ def best(pairs, k):
     return {(s, t, round(-score, 6), i + 1) for s, found in by_s1.items() for i, (score, t) in enumerate(sorted(found)[:k])}
 
 
-def test_tfidf_compares_all_targets_of_the_country(spark, docs, sides):
-    def grams(name):
-        padded = [f" {w} " for w in name.split()]
+def tfidf_pairs(left, right, column):
+    """(s1, target, cosine) of all pairs of a country with a common gram."""
+    def grams(text):
+        padded = [f" {w} " for w in text.split()]
         return Counter(w[i : i + n] for w in padded for n in (3, 4, 5) for i in range(len(w) - n + 1))
 
-    left, right = ({r.entity_id: (r.country_norm, grams(r.name_norm)) for r in rows} for rows in sides)
+    left, right = ({r.entity_id: (r.country_norm, grams(r[column])) for r in rows} for rows in (left, right))
     n = Counter(c for c, _ in right.values())
     df = Counter((c, g) for c, tf in right.values() for g in tf)
 
@@ -54,21 +55,29 @@ def test_tfidf_compares_all_targets_of_the_country(spark, docs, sides):
         return {g: x / norm for g, x in w.items()}
 
     left, right = ({e: (c, unit(c, tf)) for e, (c, tf) in side.items()} for side in (left, right))
-    pairs = [(s, t, round(score, 9)) for s, (c, a) in left.items() for t, (d, b) in right.items() if c == d and (score := sum(x * b[g] for g, x in a.items() if g in b)) > 0]
+    return [(s, t, round(score, 9)) for s, (c, a) in left.items() for t, (d, b) in right.items() if c == d and (score := sum(x * b[g] for g, x in a.items() if g in b)) > 0]
+
+
+def token_pairs(left, right, k):
+    """(s1, target, score) of the 20 k pairs of each S1 record with most shared tokens."""
+    left, right = ({r.entity_id: (r.country_norm, set(f"{r.name_norm} {r.address_norm} {r.address_numbers.replace('|', ' ')}".split())) for r in rows} for rows in (left, right))
+    pairs = []
+    for s, (c, a) in left.items():
+        most = sorted((-len(a & b), t) for t, (d, b) in right.items() if c == d and a & b)[: 20 * k]
+        pairs += [(s, t, -shared / len(a | right[t][1])) for shared, t in most]
+    return pairs
+
+
+def test_tfidf_compares_all_targets_of_the_country(spark, docs, sides):
     got = {tuple(r) for r in catalog.QUERIES["tfidf_cosine_topk"](spark, docs).collect()}
-    wanted = best(pairs, 3)
+    wanted = best(tfidf_pairs(*sides, "name_norm"), 3)
     assert len(wanted) == len(got) and {x[0] for x in got} == {x[0] for x in wanted}
     assert {(s, i): score for s, _, score, i in got} == pytest.approx({(s, i): score for s, _, score, i in wanted}, abs=2e-6)
 
 
 def test_token_block_counts_common_tokens_and_addresses(spark, docs, sides):
-    left, right = ({r.entity_id: (r.country_norm, set(f"{r.name_norm} {r.address_norm} {r.address_numbers.replace('|', ' ')}".split())) for r in rows} for rows in sides)
-    assert sum("common" in tokens for c, tokens in right.values() if c == "en") > 250
-    pairs = []
-    for s, (c, a) in left.items():
-        most = sorted((-len(a & b), t) for t, (d, b) in right.items() if c == d and a & b)[:100]
-        pairs += [(s, t, -shared / len(a | right[t][1])) for shared, t in most]
-    assert {tuple(r) for r in catalog.QUERIES["token_block_topk"](spark, docs).collect()} == best(pairs, 5)
+    assert sum("common" in r.name_norm for r in sides[1] if r.country_norm == "en") > 250
+    assert {tuple(r) for r in catalog.QUERIES["token_block_topk"](spark, docs).collect()} == best(token_pairs(*sides, 5), 5)
 
 
 def clean(text):
@@ -141,3 +150,16 @@ def test_combine_blockers_unites_the_four_blockers(spark, docs):
     assert {b for r in rows for b in r.blocker.split("|")} == {"name_tfidf", "address_tfidf", "combined_tfidf", "token"}
     assert max(Counter(r.source1_entity_id for r in rows).values()) == 80
     assert max(r.name_tfidf_rank for r in rows) > 5 and all(0 <= r.name_tfidf_score <= 1 for r in rows)
+
+
+def test_combine_blockers_equals_brute_force(spark, docs, sides):
+    """Each blocker's 60 best, the best score of each pair, and the 80 strongest; candidate_lists names them in that order."""
+    strength = {}
+    for pairs in (*(tfidf_pairs(*sides, c) for c in ("name_norm", "address_norm", "combined_norm")), token_pairs(*sides, 60)):
+        for s, t, score, _ in best(pairs, 60):
+            strength[s, t] = max(score, strength.get((s, t), 0.0))
+    wanted = {(s, i): score for s, _, score, i in best([(s, t, x) for (s, t), x in strength.items()], 80)}
+    got = catalog.QUERIES["combine_blockers"](spark, docs).collect()
+    assert {(r.source1_entity_id, r.candidate_rank): r.candidate_strength for r in got} == pytest.approx(wanted, abs=2e-6)
+    lists = {r.source1_entity_id: r.candidate_ids.split(",") for r in catalog.QUERIES["candidate_lists"](spark, docs).collect()}
+    assert {(r.source1_entity_id, r.candidate_rank): r.candidate_entity_id for r in got} == {(s, i + 1): t for s, ids in lists.items() for i, t in enumerate(ids)}
