@@ -44,7 +44,7 @@ ROWS = 5
 #: Members of a star's task, and of a block.
 STAR, BLOCK = 256, 256
 #: Buckets of more members than this get up to ROUNDS stars before blocks.
-LARGE, ROUNDS = 64, 4
+LARGE, ROUNDS = 64, 3
 #: Documents to compare up to which their ids and tasks are broadcast to the second scan, and tasks of all of them.
 BROADCAST_IDS, BROADCAST_TASKS = 150_000, 600_000
 FULL = U64(0xFFFFFFFFFFFFFFFF)

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.llm import components as components_module
 from kinweave.llm import neardup as nd
 from kinweave.llm import runtime
 from kinweave.llm.components import components
@@ -73,6 +74,7 @@ def test_stars_and_blocks_of_large_clusters(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     whole = run(frame)
     assert whole == brute(rows, 3, Fraction(85, 100)) and len({r[2] for r in whole}) > 20
+    monkeypatch.setattr(components_module, "FEW", 30)
     for changed in ({"BLOCK": 7}, {"STAR": 5, "LARGE": 2, "ROUNDS": 2}, {"ROUNDS": 1}, {"BROADCAST_IDS": 0}):
         for name, value in changed.items():
             monkeypatch.setattr(nd, name, value)
@@ -162,7 +164,9 @@ def test_shingle_hashes_depend_on_words_alone():
     assert (a == b).all() and len(a) == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [50_000, 20, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     rnd = random.Random(4)
     links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Stash(spark)).collect()}
