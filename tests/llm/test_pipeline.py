@@ -1,11 +1,13 @@
 import hashlib
 import re
 from fractions import Fraction
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from kinweave.llm import quality, secret_scan
+from kinweave.sources import staging
 from tests.llm.test_neardup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -33,18 +35,20 @@ def test_run_equals_brute_force(spark):
             if a >= at:
                 out += r.text[at:a] + f"[{kind}]"
             at = max(at, b)
-        clean.append((r.doc_id, out + r.text[at:], r.source))
+        clean.append((r.doc_id, out + r.text[at:], r.source, r.lang))
 
     sizes: dict = {}
-    for _, t, s in clean:
+    for _, t, s, _ in clean:
         sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t))
     from tests.llm.test_mixing import water
 
     target = water(sizes)
     want = {}
-    for i, t, s in clean:
+    md5 = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    for i, t, s, lang in clean:
         rate = target[s] / sizes[s] if sizes[s] else 0.0
-        draw = int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 16**13
+        key = md5(":".join("" if x is None else md5(x) for x in (i, lang, len(t), s, t)))
+        draw = int(md5(f"17:{key}:0")[:13], 16) / 16**13
         n = int(rate) + (draw < rate - int(rate))
         if n:
             want[i] = (n, len(re.findall(r"[^\x20\x09-\x0D]+", t)))
@@ -81,3 +85,37 @@ def test_mark_is_a_word_less_change(spark):
     frame = spark.createDataFrame([(1, "token=abcdefgh end", "en", "a", 18)], "doc_id long, text string, lang string, source string, n_chars long")
     got = P.hide_secrets(spark, frame, SF).first()
     assert got.text == "[assign] end" and got.n_chars == len(got.text)
+
+
+def test_odd_rows_of_each_stage(spark, odd_docs, no_docs):
+    """What the stages' docstrings say of null, empty and very long texts, ties and repeated rows."""
+    docs = odd_docs.unionByName(odd_docs.where("doc_id = 6")).unionByName(odd_docs.where("doc_id = 9").withColumn("text", F.concat("text", F.lit("a " * 300_000))).withColumn("doc_id", F.lit(90).cast("long")))
+    rows = {n: sorted(tuple(r) for r in docs.select([F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in P.COLUMNS]).collect()) for n in "x"}["x"]
+    kept = P.keep_good(spark, docs, SF)
+    assert kept.where("text is null or trim(text) = ''").count() == 0
+    near = P.drop_near_duplicates(spark, docs, SF)
+    ids = sorted(r.doc_id for r in near.collect() if r.doc_id is not None)
+    assert ids == [1, 3, 4, 5, 6, 7, 8, 9, 90] and near.where("doc_id is null").count() == 1
+    clean = {r.doc_id: r for r in P.hide_secrets(spark, docs, SF).collect()}
+    assert clean[3].text is None and clean[3].n_chars is None and clean[4].text == "" and clean[8].text == "日本語のテキスト [assign] and [access]" and clean[8].n_chars == len(clean[8].text)
+    assert clean[90].n_chars == 15000 + 600_000
+    mixed = P.mix_sources(spark, docs, SF)
+    own = {r[0]: r for r in rows}
+    assert {r[0] for r in mixed.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).collect()} <= set(own)
+    packed = P.pack_bins(spark, docs, SF).collect()
+    assert sum(r.n_words for r in packed if r.doc_id == 90) == 303_000 and sorted({(r.doc_id, r.copy) for r in packed if r.doc_id in (2, 6)}) == [(2, 0), (2, 1), (6, 0), (6, 1)]
+
+
+def test_one_row_of_each_kept_id(spark):
+    rows = [(5, "some words of one text here", "en", "a", 1)] * 40 + [(5, "some words of one text here", "fr", "a", 1), (7, "Some words of one text here", "en", "b", 2), (8, "others", "en", "b", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one, two = (sorted(tuple(r) for r in P.drop_near_duplicates(spark, f, SF).collect()) for f in (frame, frame.orderBy(F.desc("lang"))))
+    assert one == two and [r[0] for r in one] == [5, 8]
+
+
+def test_staged_inputs_are_dropped(spark):
+    before = staging.roots()
+    P.run(spark, SF).count()
+    left = [p for root in staging.roots() - before for p in Path(root).glob("*") if p.is_dir()]
+    # the packing's input and what packing itself staged
+    assert len(left) <= 5
