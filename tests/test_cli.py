@@ -3,8 +3,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import quality
+from kinweave.operators import decision, learning, quality
 from kinweave.plans import cli, control, pipeline
+from kinweave.schema import DecisionRule
 from kinweave.sources import sinks, tables
 from tests.test_pipeline import world
 
@@ -84,8 +85,12 @@ def test_rules_write_both_files_that_validate(folder, tmp_path):
         cli.main(["validate", *base, "--check-ids"])
 
 
-def test_cache_and_experiment(folder, tmp_path):
+def test_cache_and_experiment(folder, tmp_path, monkeypatch):
+    rule = DecisionRule(threshold=0.5, cap=None, bipartite=False)
+    monkeypatch.setattr(learning, "choose_rule", lambda ranked, truth, roster, config=None: (rule, decision.evaluate(ranked, truth, roster, rule)))
     base = ["--data", str(folder), "--out", str(tmp_path / "o"), "--modulo", "1", "--trees", "2", "--depth", "2", "--min-rows", "2", "--limit-s1", "25"]
+    keep, made = learning.train, []
+    monkeypatch.setattr(learning, "train", lambda *x, **y: made[0] if made else made.append(keep(*x, **y)) or made[0])
     cli.main(["cache", *base])
     cli.main(["experiment", *base])
     got = sinks.read_json(str(tmp_path / "o/experiment.json"))
