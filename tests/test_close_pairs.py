@@ -103,3 +103,11 @@ def test_code_points_of_a_text_are_made_once(spark):
     began = time.time()
     assert {r.t: r.n for r in frame.collect()} == {text: len({text[i : i + 3] for i in range(len(text) - 2)}), "ab": 1, "": 0, "añ😀b": 2}
     assert time.time() - began < 20
+
+
+def test_keys_are_not_moved_where_frequent_tokens_are_few(spark, tmp_path):
+    left, right = catalog.Data(spark, documents(spark, tmp_path, range(60)), True).capped()
+    for side in (left, right):
+        with contextlib.redirect_stdout(out := io.StringIO()):
+            side.explain()
+        assert not re.search(r"Exchange (hash|range|RoundRobin)", out.getvalue()) and "BroadcastHashJoin" in out.getvalue()
