@@ -1,0 +1,122 @@
+"""Pairs made in buckets as arrays: against the plans that join them, and without rows for pairs."""
+
+import contextlib
+import io
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from kinweave.functions import similarity as S
+from kinweave.operators import blocking as B
+from kinweave.operators import buckets, decision
+from kinweave.plans import catalog
+from kinweave.schema import DecisionRule
+from tests.test_close_pairs import documents
+from tests.test_similarity import LONG
+
+
+def brute_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def distances(pairs):
+    texts = [t for pair in pairs for t in pair]
+    return S.levenshteins(texts, np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)).tolist()
+
+
+@given(st.lists(st.tuples(LONG, LONG), max_size=12))
+@settings(max_examples=100, deadline=None)
+def test_many_distances_at_once(pairs):
+    assert distances(pairs) == [brute_levenshtein(a, b) for a, b in pairs]
+
+
+def test_distances_carry_between_words():
+    rnd = random.Random(2)
+    pairs = [("".join(rnd.choices("ab", k=n)), "".join(rnd.choices("abc", k=m))) for n in (63, 64, 65, 127, 128, 129, 200) for m in (1, 64, 65, 128, 130, 201) for _ in range(3)]
+    assert distances(pairs) == [brute_levenshtein(a, b) for a, b in pairs]
+
+
+@given(st.lists(st.tuples(LONG, LONG), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_many_jaro_winklers_and_set_ratios_at_once(pairs):
+    texts, one, two = S.numbered([a for a, _ in pairs], [b for _, b in pairs])
+    assert S.jaro_winklers(texts, one, two).tolist() == [S.jaro_winkler(a, b) for a, b in pairs]
+    assert S.set_ratios(texts, one, two).tolist() == [S.token_set(a, b) for a, b in pairs]
+    assert S.indel_ratios(texts, one, two).tolist() == [S.indel_ratio(a, b) for a, b in pairs]
+
+
+def test_jaro_winkler_of_like_words():
+    """Words of a few letters, so that many letters are within reach, and of several words of bits."""
+    rnd = random.Random(4)
+    pairs = [("".join(rnd.choices("abc", k=n)), "".join(rnd.choices("abc", k=m))) for n in (1, 2, 5, 63, 64, 65, 130) for m in (1, 3, 6, 64, 66, 129) for _ in range(4)]
+    texts, one, two = S.numbered(*map(list, zip(*pairs, strict=True)))
+    assert S.jaro_winklers(texts, one, two).tolist() == [S.jaro_winkler(a, b) for a, b in pairs]
+
+
+@pytest.fixture(params=[(1 << 17, 1 << 20), (5, 1 << 20), (5, 7), (1, 3)])
+def sizes(request, monkeypatch):
+    """Pairs compared at once and pairs of a part, also so few that buckets go on and are dealt."""
+    monkeypatch.setattr(buckets, "PAIRS", request.param[0])
+    monkeypatch.setattr(B, "PART_PAIRS", request.param[1])
+
+
+def rows(frame, *columns):
+    return sorted(tuple(r) for r in frame.select(*columns).collect())
+
+
+def data(spark, tmp_path, n=150):
+    return catalog.Data(spark, documents(spark, tmp_path, range(n)), True)
+
+
+@pytest.mark.parametrize("least, cap", [(0.4, 3), (0.75, 1), (0.0, 100)])
+def test_ranks_equal_those_of_joined_pairs(spark, tmp_path, sizes, least, cap):
+    d = data(spark, tmp_path)
+    columns = [*catalog.PAIR, "probability", "prob_rank"]
+    wanted = rows(d.scored(least)[0].where(F.col("prob_rank") <= cap), *columns)
+    assert wanted and rows(d.ranked(least, cap), *columns) == wanted
+
+
+def test_owners_equal_those_of_joined_pairs(spark, tmp_path, sizes):
+    d = data(spark, tmp_path)
+    wanted = rows(decision.exclusive(d.scored(0.4)[0]), *catalog.PAIR, "probability")
+    assert wanted and rows(catalog.QUERIES["exclusive_assignment"](spark, str(tmp_path)), *catalog.PAIR, "probability") == wanted
+
+
+@pytest.mark.parametrize("name", ["exclusive_assignment"])
+def test_no_pair_is_joined_or_sorted(spark, tmp_path, name):
+    """The plan has no join of the sides by part, whose pairs windows would sort (and spill)."""
+    frame = catalog.QUERIES[name](spark, documents(spark, tmp_path, range(60)))
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        frame.explain()
+    assert "MapInArrow" in out.getvalue() and not any("Join" in x and "part#" in x for x in out.getvalue().splitlines())
+
+
+@pytest.mark.parametrize("name, rule", [("predict_threshold_cap", DecisionRule(threshold=0.6, cap=3, bipartite=False)), ("predict_source_specific", DecisionRule(None, 0.5, 0.8, 4, False))])
+def test_ids_that_repeat_keep_their_rules(spark, tmp_path, name, rule):
+    path = documents(spark, tmp_path, [*range(80), *range(20)])
+    d = catalog.Data(spark, path, True)
+    kept = decision.predict(d.scored(0.5)[0], rule)
+    got = catalog.QUERIES[name](spark, path)
+    if "ids" in got.columns:
+        kept, got = (decision.link_lists(d.roster, kept).select(catalog.PAIR[0], F.array_join("ids", ",").alias("ids")), got)
+    assert rows(got, *got.columns) == rows(kept, *got.columns)
+
+
+def test_equal_texts_are_compared_once():
+    asked = []
+    met = buckets.Met([([["a", "b"], ["x", "x"]], [["c", "d", "e"], ["x", "y", "y"]])])
+    got = met.compared(0, lambda texts, a, b: asked.extend((texts[i], texts[j]) for i, j in zip(a, b, strict=True)) or 10 * a + b)
+    assert sorted(asked) == [("x", "x"), ("x", "y")] and got.tolist() == [0, 1, 1, 0, 1, 1]
+
+
+@pytest.mark.parametrize("name, kind, f, scale", [
