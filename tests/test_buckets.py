@@ -119,4 +119,16 @@ def test_equal_texts_are_compared_once():
     assert sorted(asked) == [("x", "x"), ("x", "y")] and got.tolist() == [0, 1, 1, 0, 1, 1]
 
 
-@pytest.mark.parametrize("name, kind, f, scale", [
+@pytest.mark.parametrize("name, kind, f, scale", [("indel_ratio", "ratio", S.indel_ratio, 1)])
+def test_similarities_of_close_pairs(spark, tmp_path, monkeypatch, name, kind, f, scale):
+    """Of all close pairs, and no pair is joined to its texts."""
+    monkeypatch.setattr(buckets, "PAIRS", 50)
+    d = data(spark, tmp_path, 90)
+    texts = {r.entity_id: (r.name_norm, r.address_norm) for r in d.all.collect()}
+    frame = catalog.QUERIES[name](spark, str(tmp_path))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in frame.collect()}
+    assert frame.columns == [*catalog.PAIR, f"name_{kind}", f"address_{kind}"] and set(got) == {tuple(r) for r in d.close().collect()} and got
+    assert all(x == pytest.approx([f(a, b) / scale for a, b in zip(texts[s], texts[t], strict=True)], abs=1e-6) for (s, t), x in got.items())
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        frame.explain()
+    assert "MapInArrow" in out.getvalue() and "Python" not in out.getvalue().replace("PythonMapInArrow", "")
