@@ -92,7 +92,7 @@ def test_owners_equal_those_of_joined_pairs(spark, tmp_path, sizes):
     assert wanted and rows(catalog.QUERIES["exclusive_assignment"](spark, str(tmp_path)), *catalog.PAIR, "probability") == wanted
 
 
-@pytest.mark.parametrize("name", ["predict_source_specific", "exclusive_assignment"])
+@pytest.mark.parametrize("name", ["predict_threshold_cap", "predict_source_specific", "exclusive_assignment"])
 def test_no_pair_is_joined_or_sorted(spark, tmp_path, name):
     """The plan has no join of the sides by part, whose pairs windows would sort (and spill)."""
     frame = catalog.QUERIES[name](spark, documents(spark, tmp_path, range(60)))
