@@ -119,7 +119,7 @@ def test_equal_texts_are_compared_once():
     assert sorted(asked) == [("x", "x"), ("x", "y")] and got.tolist() == [0, 1, 1, 0, 1, 1]
 
 
-@pytest.mark.parametrize("name, kind, f, scale", [("jaro_winkler", "jaro_winkler", S.jaro_winkler, 1), ("indel_ratio", "ratio", S.indel_ratio, 1)])
+@pytest.mark.parametrize("name, kind, f, scale", [("jaro_winkler", "jaro_winkler", S.jaro_winkler, 1), ("indel_ratio", "ratio", S.indel_ratio, 1), ("token_set_ratio", "token_set_ratio", S.token_set, 100)])
 def test_similarities_of_close_pairs(spark, tmp_path, monkeypatch, name, kind, f, scale):
     """Of all close pairs, and no pair is joined to its texts."""
     monkeypatch.setattr(buckets, "PAIRS", 50)
