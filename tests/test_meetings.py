@@ -55,7 +55,7 @@ def test_most_keeps_the_first_of_equal_ones():
     assert meetings.most(np.array([5, 5]), 3).tolist() == [0, 1]
 
 
-@pytest.mark.parametrize("name", ["evidence_weights"])
+@pytest.mark.parametrize("name", ["evidence_weights", "token_block_topk"])
 def test_pairs_are_not_rows(spark, tmp_path, capsys, name):
     """600 S1 records and 1,200 targets share a name: 720,000 pairs, of which no plan's join or task makes rows."""
     rows = [(i, "amber brick cedar delta ember flint " + " ".join(f"w{i % 40}x{k}" for k in range(10)), "en", "web", 100) for i in range(1800)]
