@@ -132,3 +132,27 @@ def test_similarities_of_close_pairs(spark, tmp_path, monkeypatch, name, kind, f
     with contextlib.redirect_stdout(out := io.StringIO()):
         frame.explain()
     assert "MapInArrow" in out.getvalue() and "Python" not in out.getvalue().replace("PythonMapInArrow", "")
+
+
+@pytest.mark.parametrize("name, columns", [("jaccard_features", catalog.JACCARDS)])
+@pytest.mark.parametrize("steps", [1 << 20, 3])
+def test_native_features_are_made_in_buckets(spark, tmp_path, sizes, monkeypatch, name, columns, steps):
+    """As by rows of joined pairs, and no pair is joined."""
+    monkeypatch.setattr(buckets, "STEPS", steps)
+    d = data(spark, tmp_path, 90)
+    wanted = rows(catalog._native(d, columns), *catalog.PAIR, *columns)
+    frame = catalog.QUERIES[name](spark, str(tmp_path))
+    assert wanted and frame.columns == [*catalog.PAIR, *columns] and rows(frame, *frame.columns) == wanted
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        frame.explain()
+    assert "MapInArrow" in out.getvalue() and not any("Join" in x and "part#" in x for x in out.getvalue().splitlines())
+
+
+def test_sets_of_texts_of_any_kind():
+    texts = ["", "a", "ab", "añ😀b", "x y  x", " x y\tz ", "aaaa"]
+    met = buckets.Met([([list("pq"), ["", "ab"]], [list("rst"), ["", "ab cd", "b"]]), ([texts, texts], [texts, texts])])
+    pairs = [(a, b) for a in ("", "ab") for b in ("", "ab cd", "b")] + [(a, b) for a in texts for b in texts]
+    for make in (S.words_of, S.grams_of):
+        shares = [len(make(a) & make(b)) / max(1, len(make(a) | make(b))) for a, b in pairs]
+        assert buckets.Kept([1], make).jaccard(met).tolist() == shares
+    assert S.grams_of("añ😀b") == {"añ😀", "ñ😀b"} and S.grams_of("ab") == {"ab"} and S.words_of(" x y\tz ") == {"x y", "z"}
