@@ -134,7 +134,7 @@ def test_similarities_of_close_pairs(spark, tmp_path, monkeypatch, name, kind, f
     assert "MapInArrow" in out.getvalue() and "Python" not in out.getvalue().replace("PythonMapInArrow", "")
 
 
-@pytest.mark.parametrize("name, columns", [("jaccard_features", catalog.JACCARDS)])
+@pytest.mark.parametrize("name, columns", [("jaccard_features", catalog.JACCARDS), ("levenshtein_features", catalog.LEVENSHTEINS)])
 @pytest.mark.parametrize("steps", [1 << 20, 3])
 def test_native_features_are_made_in_buckets(spark, tmp_path, sizes, monkeypatch, name, columns, steps):
     """As by rows of joined pairs, and no pair is joined."""
