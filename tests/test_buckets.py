@@ -148,6 +148,20 @@ def test_native_features_are_made_in_buckets(spark, tmp_path, sizes, monkeypatch
     assert "MapInArrow" in out.getvalue() and not any("Join" in x and "part#" in x for x in out.getvalue().splitlines())
 
 
+def test_grid_equals_that_of_joined_pairs(spark, tmp_path, sizes):
+    """Its sums leave the buckets, no pairs do."""
+    d = data(spark, tmp_path)
+    ranked, within = d.scored(min(catalog.THRESHOLDS), labelled=True)
+    wanted = decision.rule_grid(ranked, d.truth, d.roster, catalog.THRESHOLDS, catalog.CAPS, within)
+    wanted = {(r.threshold, r.cap or 0): r.macro_f05 for r in wanted.collect()}
+    frame = catalog.QUERIES["tune_rule_grid"](spark, str(tmp_path))
+    got = {(r.threshold, r.cap): r.macro_f05 for r in frame.collect()}
+    assert got.keys() == wanted.keys() and len(set(got.values())) > 5 and got == pytest.approx(wanted, abs=1e-6)
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        frame.explain()
+    assert "MapInArrow" in out.getvalue() and "Window" not in out.getvalue()
+
+
 def test_sets_of_texts_of_any_kind():
     texts = ["", "a", "ab", "añ😀b", "x y  x", " x y\tz ", "aaaa"]
     met = buckets.Met([([list("pq"), ["", "ab"]], [list("rst"), ["", "ab cd", "b"]]), ([texts, texts], [texts, texts])])
