@@ -55,6 +55,15 @@ def test_many_jaro_winklers_and_set_ratios_at_once(pairs):
     assert S.indel_ratios(texts, one, two).tolist() == [S.indel_ratio(a, b) for a, b in pairs]
 
 
+def test_many_sequence_ratios_at_once():
+    """Of few letters, so that runs are often equally long, and of texts around and above the length from which letters can be junk."""
+    rnd = random.Random(5)
+    pairs = [("".join(rnd.choices(kind, k=n)), "".join(rnd.choices(kind, k=m))) for kind in ("ab", "abc d", "añ😀bcdefgh ") for n in (0, 1, 2, 7, 40, 130, 260) for m in (0, 1, 3, 8, 64, 199, 200, 270) for _ in range(3)]
+    texts, one, two = S.numbered(*map(list, zip(*pairs, strict=True)))
+    assert S.sequence_ratios(texts, one, two).tolist() == [S.sequence_ratio(a, b) for a, b in pairs]
+    assert S.sequence_ratios([], np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
 def test_jaro_winkler_of_like_words():
     """Words of a few letters, so that many letters are within reach, and of several words of bits."""
     rnd = random.Random(4)
@@ -170,3 +179,12 @@ def test_sets_of_texts_of_any_kind():
         shares = [len(make(a) & make(b)) / max(1, len(make(a) | make(b))) for a, b in pairs]
         assert buckets.Kept([1], make).jaccard(met).tolist() == shares
     assert S.grams_of("añ😀b") == {"añ😀", "ñ😀b"} and S.grams_of("ab") == {"ab"} and S.words_of(" x y\tz ") == {"x y", "z"}
+
+
+def test_sequence_ratios_are_made_in_buckets(spark, tmp_path):
+    d, columns = data(spark, tmp_path, 90), ["name_sequence_ratio", "address_sequence_ratio"]
+    frame = catalog.QUERIES["sequence_ratio"](spark, str(tmp_path))
+    assert frame.columns == [*catalog.PAIR, *columns] and rows(frame, *frame.columns) == rows(catalog._batched(d, columns), *frame.columns)
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        frame.explain()
+    assert "MapInArrow" in out.getvalue() and "ArrowEvalPython" not in out.getvalue()
