@@ -188,3 +188,12 @@ def test_sequence_ratios_are_made_in_buckets(spark, tmp_path):
     with contextlib.redirect_stdout(out := io.StringIO()):
         frame.explain()
     assert "MapInArrow" in out.getvalue() and "ArrowEvalPython" not in out.getvalue()
+
+
+@pytest.mark.parametrize("name", ["levenshtein_features", "tune_rule_grid"])
+def test_only_what_is_compared_is_staged_unless_ids_repeat(spark, tmp_path, name):
+    narrow = catalog.Data(spark, documents(spark, tmp_path / "a", range(40)), True, True).all.columns
+    assert "landmark_tokens" not in narrow and {"name_norm", "address_norm", "first2"} <= set(narrow)
+    path = documents(spark, tmp_path / "b", [*range(40), *range(10)])
+    assert set(catalog.STAGED) <= set(catalog.Data(spark, path, True, True).all.columns)
+    assert catalog.QUERIES[name](spark, path).count() > 0
